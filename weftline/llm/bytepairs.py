@@ -4,22 +4,51 @@ Words, each with the one space before it, are encoded by the tokenizers library
 each and remembered, up to a bound. No pre-token of this family of tokenizers goes
 over the start of a space that has a character other than white space behind it, so
 words don't depend on their neighbours. Texts with a special token's text, where that
-counts as one, go to the library whole.
+counts as one, and texts with other spacing go to the library whole.
 """
 
 from __future__ import annotations
 
+import re
+import struct
+
 import numpy as np
 
 #: A space before another white space; words around it aren't on their own.
 LOOSE = tuple(f" {c}" for c in map(chr, range(0x3001)) if c.isspace())
 LOOSE_ASCII = tuple(x for x in LOOSE if x.isascii())
+#: Words that are one pre-token and, at most, one more of punctuation.
+PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
 
 
 def loose(text: str) -> bool:
     return text[:1] == " " or text[-1:] == " " or any(x in text for x in (LOOSE_ASCII if text.isascii() else LOOSE))
 
 
+def byte_names() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself if visible, else the next of U+0100 on."""
+    out, spare = [], 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
+            out.append(chr(b))
+        else:
+            out.append(chr(spare))
+            spare += 1
+    return out
+
+
+class _Known(dict):
+    def __init__(self, f, most: int):
+        super().__init__()
+        self.f, self.most = f, most
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.f(word)
+        if len(self) < self.most:
+            self[word] = out
+        return out
+
+
 class BytePairs:
     def __init__(self, tokenizer_json: str, specials_are_text: bool = False, memo: int = 1 << 19):
         from tokenizers import Tokenizer
@@ -27,8 +56,9 @@ class BytePairs:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = specials_are_text
         self.specials = () if specials_are_text else tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}  # by the word with the space before it
-        self.most = memo
+        self.known = _Known(self._word, memo)  # by the word without the space before it
+        self.model = self.tokenizer.model
+        self.names = dict(enumerate(byte_names()))
         self._size = None
 
     @property
@@ -44,49 +74,27 @@ class BytePairs:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; no special tokens are added."""
-        out: list[bytes] = [b""] * len(texts)
-        for at in range(0, len(texts), 256):
-            self._encode(texts, out, range(at, min(at + 256, len(texts))))
-        return out
-
-    def _encode(self, texts: list[str], out: list[bytes], span: range) -> None:
-        words: dict[int, list[str]] = {}
-        whole: list[int] = []
-        missing: set[str] = set()
-        for i in span:
-            t = texts[i]
+        out = []
+        known = self.known.__getitem__
+        for t in texts:
             if loose(t) or any(s in t for s in self.specials):
-                whole.append(i)
+                out += self._ids([t])
             else:
-                words[i] = w = t.split(" ")
-                missing.update(w[1:])
-        made = self._words([x for x in missing if x not in self.known])
-        if len(self.known) + len(made) <= self.most:
-            self.known.update(made)
-            made = {}
-        for i, raw in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = raw
-        known, heads = self.known, self._ids([w[0] for w in words.values()])
-        for (i, w), head in zip(words.items(), heads, strict=True):
-            if made:
-                out[i] = head + b"".join([made.get(x) or known[x] for x in w[1:]])
-            else:
-                out[i] = head + b"".join(map(known.__getitem__, w[1:]))
-
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """The words' ids, each with a space before it; many words go to the library as one text, whose ids are dealt out by their bytes."""
-        out: dict[str, bytes] = {}
-        for at in range(0, len(words), 2000):
-            some = words[at : at + 2000]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.cumsum([len(w.encode("utf-8")) + 1 for w in some])
-            stops = (4 * (np.searchsorted(np.cumsum(self.byte_sizes[ids]), ends) + 1)).tolist()
-            raw = ids.tobytes()
-            out.update(zip(some, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
+                head, *words = t.split(" ")
+                out.append(b"".join([*self._ids([head]), *map(known, words)]))
         return out
 
+    def _word(self, word: str) -> bytes:
+        m = PLAIN.fullmatch(word)
+        if not m or not m[0]:
+            return self._ids([f" {word}"])[0]
+        first, rest = (f" {m[1]}", m[2]) if m[1] else (f" {m[2]}", "")
+        ids = [t.id for p in ((first, rest) if rest else (first,)) for t in self.model.tokenize(p.encode("utf-8").decode("latin-1").translate(self.names))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in encode(texts, add_special_tokens=False))]
 
 
 _made: dict[tuple, BytePairs] = {}

@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bytepairs import byte_pairs
@@ -113,8 +113,6 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
                 )
 
     made = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(encode, f"digest binary, n int, payload binary, refs array<struct<rid:bigint,doc_id:{kind},k:int>>")
-    from pyspark.sql import Window
-
     first = F.row_number().over(Window.partitionBy("digest").orderBy(F.xxhash64("refs"))) == 1
     made.withColumn("stored", first).withColumn("payload", F.when(F.col("stored"), F.col("payload"))).write.partitionBy("stored").parquet(f"{path}/chunks")
 
@@ -127,7 +125,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
             roots = [merkle([c["digest"] for c in x]) for x in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sizes), part), pa.int32()), batch.column(0), batch.column(1), batch.column(2), pa.array(starts[:-1], pa.int64()), pa.array(roots, pa.binary()), batch.column(3)], ["part", "rid", "doc_id", "n_tokens", "local_start", "root", "chunks"])
 
-    refs = spark.read.schema(f"digest binary, n int, payload binary, refs array<struct<rid:bigint,doc_id:{kind},k:int>>, stored boolean").parquet(f"{path}/chunks").select("digest", "n", F.explode("refs").alias("r"))
+    refs = spark.read.schema(f"digest binary, n int, payload binary, refs array<struct<rid:bigint,doc_id:{kind},k:int>>, stored string").parquet(f"{path}/chunks").select("digest", "n", F.explode("refs").alias("r"))
     recipes = refs.groupBy(F.col("r.rid").alias("rid")).agg(F.first("r.doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.sort_array(F.collect_list(F.struct(F.col("r.k").alias("k"), "digest", "n"))).alias("c"))
     recipes = recipes.select("rid", "doc_id", "n_tokens", F.transform("c", lambda x: F.struct(x["digest"].alias("digest"), x["n"].alias("n"))).alias("chunks"))
     placed = recipes.repartitionByRange(F.col("doc_id"), F.col("rid")).sortWithinPartitions("doc_id", "rid").mapInArrow(place, f"part int, rid long, doc_id {kind}, n_tokens long, local_start long, root binary, chunks array<struct<digest:binary,n:int>>")
@@ -162,7 +160,7 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
                     raise ValueError(f"chunk {d.hex()} is damaged")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))], ["digest", "ids"])
 
-    return spark.read.parquet(f"{path}/chunks").where("stored").select("digest", "payload").mapInArrow(unpack, "digest binary, ids array<long>")
+    return spark.read.schema("digest binary, payload binary, stored string").parquet(f"{path}/chunks").where("stored = 'true'").select("digest", "payload").mapInArrow(unpack, "digest binary, ids array<long>")
 
 
 def read_documents(spark: SparkSession, path: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -222,7 +220,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
                 crc.append(zlib.crc32(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["digest", "have", "crc"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").where("stored").select("digest", "payload").mapInArrow(sums, "digest binary, have long, crc long")
+    chunks = spark.read.schema("digest binary, payload binary, stored string").parquet(f"{path}/chunks").where("stored = 'true'").select("digest", "payload").mapInArrow(sums, "digest binary, have long, crc long")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -245,6 +243,6 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
     parts = recipes.select("rid", "n_tokens", "root", "chunks").mapInArrow(spread, "rid long, good boolean, digest binary, n long, after long, head boolean")
     joined = parts.join(chunks, "digest").select("rid", (F.col("good") & (F.col("n") == F.col("have"))).alias("good"), "n", share("crc", "after").alias("share"))
     found = joined.groupBy("rid").agg(F.bit_xor("share").alias("ids_crc32"), F.sum("n").alias("found"), F.count("*").alias("n_chunks"), F.every("good").alias("good"))
-    manifest = spark.read.parquet(f"{path}/manifest").select("part", "base")
+    manifest = spark.read.schema("part int, base long").parquet(f"{path}/manifest").select("part", "base")
     out = recipes.select("rid", "doc_id", "part", "local_start", "n_tokens").join(F.broadcast(manifest), "part").join(found, "rid", "left")
     return out.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32", "n_chunks", F.coalesce(F.col("good") & (F.col("found") == F.col("n_tokens")), F.lit(False)).alias("verified"))
