@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.bytepairs import byte_pairs
-from weftline.llm.common import text_or_empty
+from weftline.llm.common import small_batches, text_or_empty
 
 WINDOW, LEAST, MOST = 8, 128, 4096
 #: A chunk ends where the rolling hash has these bits clear: about every 512 ids.
@@ -88,6 +88,7 @@ def write_store(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0
     spark = docs.sparkSession
     vocabulary = spark.sparkContext.broadcast(tokenizer_json)
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_or_empty
+from weftline.llm.common import small_batches, text_or_empty
 
 #: Characters of labelled text for each language, rows that they may come from, symbols of the alphabet and languages, at most.
 CHARS, ROWS, SYMBOLS, LANGUAGES = 16_000, 200, 96, 200
@@ -185,6 +185,7 @@ def identify(docs: DataFrame, model: LanguageModel | None = None, id_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, id_col=id_col, text_col=text_col, lang_col=lang_col))
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

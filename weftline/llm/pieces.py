@@ -21,11 +21,12 @@ from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import text_or_empty
+from weftline.llm.common import small_batches, text_or_empty
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 0, 1, 2, 3
@@ -57,7 +58,7 @@ class _Memo(dict):
 class PieceCodec:
     """Encoder and decoder of one model. Null text counts as empty; empty text has no pieces."""
 
-    def __init__(self, model: list[tuple[str, float, int]], memo: int = 1 << 19):
+    def __init__(self, model: list[tuple[str, float, int]], memo: int = 1 << 18):
         self.ids = {p: i for i, (p, _, k) in enumerate(model) if k == NORMAL}
         self.score = {p: s for p, s, k in model if k == NORMAL}
         self.bytes = {int(p[3:5], 16): i for i, (p, _, k) in enumerate(model) if k == BYTE}
@@ -283,6 +284,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     docs: repeated rows stay repeated, a null id stays null, null text counts as empty
     and has the end id alone. Other columns of docs aren't looked at. No shuffle.
     """
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(read_model(model_path))
     kind = docs.schema[id_col].dataType.simpleString()
     ids_kind = ", ids array<int>" if keep_ids else ""
@@ -290,7 +292,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model)
         sha = hashlib.sha256
-        for batch in batches:
+        for batch in (some.slice(at, 256) for some in batches for at in range(0, some.num_rows, 256)):
             n, a, b, same, all_ids = [], [], [], [], []
             for t in batch.column(1):
                 text = t.as_py()
@@ -300,7 +302,7 @@ def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", t
                 b.append(sha(back.encode("utf-8")).hexdigest())
                 same.append(back == text)
                 if keep_ids:
-                    all_ids.append(list(map(int, shown.split())))
+                    all_ids.append(np.array(shown.split(), np.int32))
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(same, pa.bool_())]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "round_trip"]
             if keep_ids:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh, materialize, text_or_empty
+from weftline.llm.common import fresh, materialize, small_batches, text_or_empty
 from weftline.llm.graph import components
 
 BUCKET = 1024
@@ -67,6 +67,7 @@ def fingerprint_all(text: str, shingle: int, seeds: int) -> list[int]:
 def fingerprints(docs: DataFrame, shingle: int = 3, seeds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, more) for each row: the fingerprint as a signed long, and those under further hashes. Null text counts as empty."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.bytepairs import byte_pairs
-from weftline.llm.common import text_or_empty
+from weftline.llm.common import small_batches, text_or_empty
 
 RULES = ("first", "last", "most", "split")
 
@@ -70,6 +70,7 @@ def section_tokens(docs: DataFrame, tokenizer_json: str, rule: str = "first", se
         raise ValueError(f"rule is one of {RULES}")
     vocabulary = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = byte_pairs(vocabulary.value, True)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, text_or_empty
+from weftline.llm.common import SPACE, small_batches, text_or_empty
 
 # Words of the second person in four languages, and characters that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine tu te toi ton ta tes vous votre vos usted ustedes tú ti vosotros vuestro".split())
@@ -172,6 +172,7 @@ _words: dict[int, _Words] = {}
 
 def _measure(docs: DataFrame, lexicon: dict[str, float], score=None) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = (score.value.lexicon if score else lexicon)
