@@ -9,44 +9,34 @@ counts as one, and texts with other spacing go to the library whole.
 
 from __future__ import annotations
 
-import re
 import struct
+from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 
 #: A space before another white space; words around it aren't on their own.
 LOOSE = tuple(f" {c}" for c in map(chr, range(0x3001)) if c.isspace())
 LOOSE_ASCII = tuple(x for x in LOOSE if x.isascii())
-#: Words that are one pre-token and, at most, one more of punctuation.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\\[-`{-~]*)")
+#: Characters of text whose words are looked up together, and words that go to the library in one call.
+PORTION, JOINED = 1 << 20, 4096
 
 
 def loose(text: str) -> bool:
     return text[:1] == " " or text[-1:] == " " or any(x in text for x in (LOOSE_ASCII if text.isascii() else LOOSE))
 
 
-def byte_names() -> list[str]:
-    """The character that byte-level vocabularies write for each byte: itself if visible, else the next of U+0100 on."""
-    out, spare = [], 256
-    for b in range(256):
-        if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
-            out.append(chr(b))
-        else:
-            out.append(chr(spare))
-            spare += 1
-    return out
-
-
-class _Known(dict):
-    def __init__(self, f, most: int):
-        super().__init__()
-        self.f, self.most = f, most
-
-    def __missing__(self, word: str) -> bytes:
-        out = self.f(word)
-        if len(self) < self.most:
-            self[word] = out
-        return out
+def portions(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in order, cut where the characters go over PORTION."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size > PORTION:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 class BytePairs:
@@ -56,9 +46,8 @@ class BytePairs:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = specials_are_text
         self.specials = () if specials_are_text else tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known = _Known(self._word, memo)  # by the word without the space before it
-        self.model = self.tokenizer.model
-        self.names = dict(enumerate(byte_names()))
+        self.known: dict[str, bytes] = {}  # by the word without the space before it
+        self.memo = memo
         self._size = None
 
     @property
@@ -75,22 +64,36 @@ class BytePairs:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; no special tokens are added."""
         out = []
-        known = self.known.__getitem__
-        for t in texts:
-            if loose(t) or any(s in t for s in self.specials):
-                out += self._ids([t])
-            else:
-                head, *words = t.split(" ")
-                out.append(b"".join([*self._ids([head]), *map(known, words)]))
+        for some in portions(texts):
+            whole = [loose(t) or any(s in t for s in self.specials) for t in some]
+            words = [[] if w else t.split(" ") for t, w in zip(some, whole, strict=True)]
+            heads = self._ids([t if w else x[0] for t, w, x in zip(some, whole, words, strict=True)])
+            new = self._words(list(set(chain.from_iterable(words)).difference(self.known, [""])))
+            room = self.memo - len(self.known)
+            if len(new) <= room:
+                self.known.update(new)
+                out += [b"".join([head, *map(self.known.__getitem__, x[1:])]) for head, x in zip(heads, words, strict=True)]
+            else:  # what is over is kept for this portion alone
+                self.known.update(islice(new.items(), room))
+                known = self.known.get
+                out += [b"".join([head, *[known(w) or new[w] for w in x[1:]]]) for head, x in zip(heads, words, strict=True)]
         return out
 
-    def _word(self, word: str) -> bytes:
-        m = PLAIN.fullmatch(word)
-        if not m or not m[0]:
-            return self._ids([f" {word}"])[0]
-        first, rest = (f" {m[1]}", m[2]) if m[1] else (f" {m[2]}", "")
-        ids = [t.id for p in ((first, rest) if rest else (first,)) for t in self.model.tokenize(p.encode("utf-8").decode("latin-1").translate(self.names))]
-        return struct.pack(f"<{len(ids)}I", *ids)
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Each word's ids with a space before it. Many words are one text for the library, cut again by the bytes that ids stand for."""
+        if any(" " in s for s in self.specials):  # words side by side could make a special token
+            return dict(zip(words, self._ids([f" {w}" for w in words]), strict=True))
+        out = {}
+        for at in range(0, len(words), JOINED):
+            some = words[at : at + JOINED]
+            raw = self._ids([f" {' '.join(some)}"])[0]
+            ends = np.cumsum(self.byte_sizes[np.frombuffer(raw, "<u4")])
+            borders = 4 * (np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in some])) + 1)
+            last = 0
+            for w, e in zip(some, borders.tolist(), strict=True):
+                out[w] = raw[last:e]
+                last = e
+        return out
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)  # without offsets
