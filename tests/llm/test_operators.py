@@ -14,7 +14,7 @@ import sentencepiece
 import xxhash
 from tokenizers import Tokenizer
 
-from weftline.llm import chunk_store, exact, language, mixing, pieces, quality, queries, simhash, token_counts, toxicity, urls
+from weftline.llm import bytepairs, chunk_store, exact, language, mixing, pieces, quality, queries, simhash, token_counts, toxicity, urls
 from weftline.llm.bytepairs import BytePairs
 from weftline.llm.graph import components
 
@@ -174,6 +174,19 @@ def test_section_tokens(spark, documents, rule):
         assert all(abs(got[i][s] - want[s]) < 1e-9 for s in got[i]), (i, rule)
 
 
+@pytest.mark.parametrize("memo", [0, 50, 1 << 19])
+@pytest.mark.parametrize("specials_are_text", [False, True])
+def test_words_are_encoded_as_in_their_texts(memo, specials_are_text, monkeypatch):
+    monkeypatch.setattr(bytepairs, "PORTION", 300)
+    monkeypatch.setattr(bytepairs, "JOINED", 7)
+    rng, parts = random.Random(1), ["a", "B", "é", "語", "🙂", " ", " ", "\n", "\t", "\u3000", "\xa0", "'s", "12", "!", "<|"]
+    texts = ["".join(rng.choice([*parts, "<|endoftext|>" if i % 9 == 0 else "x"]) for _ in range(rng.randrange(40))) for i in range(2000)] + [""]
+    pairs = BytePairs(queries.tokenizer_json(), specials_are_text, memo)
+    want = [np.array(e.ids, "<u4").tobytes() for e in pairs.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert pairs.encode_all(texts) == want and pairs.encode_all(texts) == want and len(pairs.known) <= memo
+    assert pairs.encode_all([]) == []
+
+
 def test_urls(spark, sf_dir):
     def brute(url):
         host = path = ""
