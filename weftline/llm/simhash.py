@@ -11,10 +11,14 @@ they are compared directly and only a spanning forest of the links goes on. A bu
 above BUCKET fingerprints is dealt out again: its free bits are cut into r + 1 blocks,
 and fingerprints within the radius agree in one block at least. This goes on until
 buckets are small, and loses no link.
+
+Texts can have a sketch of several fingerprints under different hashes. Those whose
+fingerprints meet in any table are then compared by all bits of their sketches.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +31,9 @@ from weftline.llm.graph import components
 
 BUCKET = 1024
 SEED = 42
-_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+#: Shingles whose bits are counted together.
+BLOCK = 1 << 14
+_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
 def fingerprint(text: str, shingle: int = 3) -> int:
@@ -35,13 +41,13 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return fingerprint_all(text, shingle, 1)[0]
 
 
-def _remix(h: np.ndarray, s: int) -> np.ndarray:
-    """The s-th 64-bit hash that is derived from a first one; bijective, the first itself for s = 0."""
-    if not s:
-        return h
-    x = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * s)
+def _remix(h: np.ndarray, seeds: int) -> np.ndarray:
+    """A row of 64-bit hashes for each seed: the first ones, then those that bijections make of them."""
+    if seeds == 1:
+        return h[None]
+    x = (h ^ (h >> np.uint64(31))) * np.array([[0x9E3779B97F4A7C15 + 2 * s] for s in range(1, seeds)], np.uint64)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    return np.concatenate([h[None], x ^ (x >> np.uint64(32))])
 
 
 def fingerprint_all(text: str, shingle: int, seeds: int) -> list[int]:
@@ -54,14 +60,15 @@ def fingerprint_all(text: str, shingle: int, seeds: int) -> list[int]:
     n = max(1, len(words) - shingle + 1)
     hash64 = xxhash.xxh64_intdigest
     if n == 1:
-        return [int(_remix(np.array([hash64(b" ".join(words), SEED)], np.uint64), s)[0]) for s in range(seeds)]
+        return _remix(np.array([hash64(b" ".join(words), SEED)], np.uint64), seeds)[:, 0].tolist()
     first = np.fromiter([hash64(x, SEED) for x in map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))], np.uint64, n)
-    out = []
-    for s in range(seeds):
-        lanes = _remix(first, s).view(np.uint8).reshape(n, 8)
-        ones = np.concatenate([np.bincount(lanes[:, k], minlength=256) @ _BITS for k in range(8)])
-        out.append(sum(1 << i for i in np.flatnonzero(2 * ones > n).tolist()))
-    return out
+    lane = 256 * np.arange(8 * seeds).reshape(seeds, 1, 8)
+    count = np.zeros(8 * seeds * 256, np.int64)
+    for at in range(0, n, BLOCK):
+        octets = _remix(first[at : at + BLOCK], seeds).view(np.uint8).reshape(seeds, -1, 8)
+        count += np.bincount((octets + lane).ravel(), minlength=len(count))
+    ones = count.reshape(-1, 256) @ _BITS
+    return np.packbits(2 * ones.reshape(seeds, 64) > n, axis=1, bitorder="little").view(np.uint64)[:, 0].tolist()
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seeds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,75 +100,98 @@ def _blocks(mask: int, parts: int, bits: int = 64) -> list[int]:
     return [mask | sum(1 << i for i in free[k::parts]) for k in range(parts)]
 
 
-def forest(fps: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of fingerprints (signed) that differ in radius bits or fewer."""
-    if len(fps) == 2:
-        a, b = fps
-        return [(a, b)] if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius else []
-    out, rest = [], np.array(sorted(fps), np.int64).view(np.uint64)
+def sketch_limit(seeds: int, similarity: float) -> int:
+    """How many bits of their sketches texts with this Jaccard similarity differ in, on average: the angle between shingle sets of one size."""
+    return math.floor(64 * seeds * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+
+
+def forest(sketches: list[int] | list[list[int]], most: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of fingerprints, or of sketches (all signed), that differ in `most` bits or fewer. The first fingerprint stands for a sketch."""
+    rest = np.array(sorted(sketches), np.int64).reshape(len(sketches), -1).view(np.uint64)
+    out = []
     while len(rest) > 1:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             x = front.pop()
-            near = np.bitwise_count(rest ^ x) <= radius
+            near = np.bitwise_count(rest ^ x).sum(1) <= most
             if near.any():
                 met = rest[near]
                 rest = rest[~near]
                 front.extend(met)
-                out += [(int(np.uint64(x).view(np.int64)), y) for y in met.view(np.int64).tolist()]
+                out += [(int(x[0].view(np.int64)), y) for y in np.ascontiguousarray(met[:, 0]).view(np.int64).tolist()]
     return out
 
 
-def near_links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links whose components are those of all pairs of fps with the same s within the radius. fps: distinct (s, fp), a small int and a long."""
-    spark = fps.sparkSession
+def near_links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET, sketches: DataFrame | None = None, most: int = 0) -> DataFrame:
+    """(a, b): links whose components are those of all pairs of fps with the same s within the radius. fps: distinct (s, fp), a small int and a long.
+
+    With sketches, a table of (node, sketch) that replaces fps, it links the nodes that
+    meet in a table and whose sketches differ in `most` bits or fewer. All within the
+    radius under some hash meet. A bucket above the limit whose fingerprints are all
+    within the radius and can't be dealt out again is linked as it is.
+    """
     if bucket < 2 ** (radius + 1):
         raise ValueError("buckets can't get that small")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [x for fp in b.column(0).to_pylist() for x in forest(fp, radius)]
+            got = []
+            for x in b.column(0).to_pylist():
+                if sketches_of or len(x) > 2:
+                    got += forest(x, limit)
+                elif ((x[0] ^ x[1]) & (1 << 64) - 1).bit_count() <= limit:
+                    got.append((x[0], x[1]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
 
-    dealt = fps.select("s", "fp", F.explode(F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])).alias("mask"))
+    sketches_of, limit = sketches is not None, most if sketches is not None else radius
+    values = sketches.select("node", F.posexplode("sketch").alias("s", "fp")) if sketches_of else fps.select("s", "fp", F.col("fp").alias("node"))
+    spark = values.sparkSession
+    place = ["s", "mask", "key"]
+    dealt = values.select("s", "node", "fp", F.explode(F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])).alias("mask"))
     out = None
     while True:
-        dealt = dealt.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        shared = dealt.groupBy("s", "mask", "key").agg(F.count("*").alias("n")).where("n > 1")
-        members = materialize(dealt.join(shared, ["s", "mask", "key"]), "buckets")
-        links = members.where(F.col("n") <= bucket).groupBy("s", "mask", "key").agg(F.collect_list("fp").alias("fp")).select("fp").mapInArrow(link, "a long, b long")
+        dealt = dealt.select("s", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "node")
+        shared = dealt.groupBy(place).agg(F.count("*").alias("n")).where("n > 1")
+        members = materialize(dealt.join(shared, place), "buckets")
+        small = members.where(F.col("n") <= bucket)
+        lists = small.join(sketches, "node").groupBy(place).agg(F.collect_list("sketch").alias("x")) if sketches_of else small.groupBy(place).agg(F.collect_list("node").alias("x"))
+        links = lists.select("x").mapInArrow(link, "a long, b long")
         out = links if out is None else out.unionByName(links)
         large = members.where(F.col("n") > bucket)
         masks = [r[0] for r in large.select("mask").distinct().collect()]  # as many as there are masks
+        full = [m for m in masks if 64 - (m & (1 << 64) - 1).bit_count() <= radius]
+        if full:
+            close = large.where(F.col("mask").isin(full))
+            out = out.unionByName(close.join(close.groupBy(place).agg(F.min("node").alias("b")), place).select(F.col("node").alias("a"), "b"))
+        masks = [m for m in masks if m not in full]
         if not masks:
             return out
         finer = spark.createDataFrame([(m, _signed(x)) for m in masks for x in _blocks(m & (1 << 64) - 1, radius + 1)], "mask long, finer long")
-        dealt = large.select("s", "fp", "mask").join(F.broadcast(finer), "mask").select("s", "fp", F.col("finer").alias("mask"))
+        again = large.join(F.broadcast(finer), "mask")
+        again = again.join(sketches, "node").withColumn("fp", F.element_at("sketch", F.col("s") + 1)) if sketches_of else again.withColumn("fp", F.col("node"))
+        dealt = again.select("s", "node", "fp", F.col("finer").alias("mask"))
 
 
-def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, seeds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, seeds: int = 1, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """Each row's fingerprint (16 hex digits) and component_id, the smallest id that links lead to.
 
     Rows with equal fingerprints are linked, and so are fingerprints within the radius.
-    With seeds above 1, each text has so many fingerprints under different hashes, and any
-    of them links. Null text counts as empty; texts without a word have fingerprint zero,
-    linked like any other. Rows that repeat an id get the component of their own text. Null
-    ids are passed over for component_id, which is null only if a component has no other.
-    An empty table gives no rows; other columns aren't looked at.
+    With seeds above 1, each text has a sketch of so many fingerprints under different
+    hashes. Texts that meet in a table of any of them are then linked if their sketches
+    differ in no more bits than those of texts with the similarity do on average. Null
+    text counts as empty; texts without a word have fingerprint zero, linked like any
+    other. Rows that repeat an id get the component of their own text. Null ids are
+    passed over for component_id, which is null only if a component has no other. An
+    empty table gives no rows; other columns aren't looked at.
     """
     rows = materialize(fingerprints(docs, shingle, seeds, id_col, text_col), "fingerprints")
-    firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "distinct-fingerprints")
-    values = firsts.select(F.lit(0).alias("s"), "fp")
-    if seeds > 1:
-        others = materialize(rows.select("fp", F.posexplode("more").alias("s", "other")).groupBy(F.col("s") + 1, "other").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).toDF("s", "other", "low", "high"), "other-fingerprints")
-        values = values.unionByName(others.select("s", F.col("other").alias("fp")))
-    links = near_links(values, radius)
+    # rows with one first fingerprint are one node; the least of their sketches stands for it
+    firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first"), *([F.min("more").alias("more")] if seeds > 1 else [])), "distinct-fingerprints")
     if seeds > 1:
-        # a fingerprint under another hash stands between the texts that have it and those near it
-        links = materialize(links, "near-links")
-        ends = links.select(F.explode(F.array("a", "b")).alias("other")).unionByName(others.where("low != high").select("other")).distinct()
-        owners = rows.select("fp", F.explode("more").alias("other")).join(ends, "other", "left_semi").distinct()
-        links = links.unionByName(owners.select(F.col("fp").alias("a"), F.col("other").alias("b")))
+        sketches = firsts.select(F.col("fp").alias("node"), F.concat(F.array("fp"), "more").alias("sketch"))
+        links = near_links(firsts, radius, sketches=sketches, most=sketch_limit(seeds, similarity))
+    else:
+        links = near_links(firsts.select(F.lit(0).alias("s"), "fp"), radius)
     roots = components(links)
     member = firsts.join(roots.select(F.col("a").alias("fp"), "b"), "fp", "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -169,9 +199,9 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, seeds: int =
     return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 3, seeds: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 3, seeds: int = 8, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """The rows of docs whose id is the smallest of their component, with all their columns. Rows without an id stay."""
     (lead,) = fresh(docs, "lead")
-    groups = near_groups(docs.select(id_col, text_col), shingle, radius, seeds, id_col, text_col)
+    groups = near_groups(docs.select(id_col, text_col), shingle, radius, seeds, id_col, text_col, similarity)
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(lead)).distinct()
     return docs.join(gone, docs[id_col] == gone[lead], "left_anti")
