@@ -127,8 +127,8 @@ def near_links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET, sketches:
 
     With sketches, a table of (node, sketch) that replaces fps, it links the nodes that
     meet in a table and whose sketches differ in `most` bits or fewer. All within the
-    radius under some hash meet. A bucket above the limit whose fingerprints are all
-    within the radius and can't be dealt out again is linked as it is.
+    radius under some hash meet. In buckets above the limit equal fingerprints are links.
+    Links can then lead over longs that are no nodes.
     """
     if bucket < 2 ** (radius + 1):
         raise ValueError("buckets can't get that small")
@@ -159,17 +159,17 @@ def near_links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET, sketches:
         out = links if out is None else out.unionByName(links)
         large = members.where(F.col("n") > bucket)
         masks = [r[0] for r in large.select("mask").distinct().collect()]  # as many as there are masks
-        full = [m for m in masks if 64 - (m & (1 << 64) - 1).bit_count() <= radius]
-        if full:
-            close = large.where(F.col("mask").isin(full))
-            out = out.unionByName(close.join(close.groupBy(place).agg(F.min("node").alias("b")), place).select(F.col("node").alias("a"), "b"))
-        masks = [m for m in masks if m not in full]
         if not masks:
             return out
         finer = spark.createDataFrame([(m, _signed(x)) for m in masks for x in _blocks(m & (1 << 64) - 1, radius + 1)], "mask long, finer long")
-        again = large.join(F.broadcast(finer), "mask")
-        again = again.join(sketches, "node").withColumn("fp", F.element_at("sketch", F.col("s") + 1)) if sketches_of else again.withColumn("fp", F.col("node"))
-        dealt = again.select("s", "node", "fp", F.col("finer").alias("mask"))
+        if sketches_of:
+            # many nodes can have one fingerprint under a hash: it stands between them, and one of them goes on
+            large = large.join(sketches, "node").select("s", "mask", "node", F.element_at("sketch", F.col("s") + 1).alias("fp"))
+            out = out.unionByName(large.select(F.col("node").alias("a"), F.col("fp").alias("b")))
+            large = large.groupBy("s", "mask", "fp").agg(F.min("node").alias("node"))
+        else:
+            large = large.withColumn("fp", F.col("node"))
+        dealt = large.join(F.broadcast(finer), "mask").select("s", "node", "fp", F.col("finer").alias("mask"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, seeds: int = 1, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
