@@ -158,3 +158,24 @@ def test_stages_on_odd_and_no_rows(spark, sf_dir):
         for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
             out = stage(spark, docs, sf_dir)
             assert out.count() <= 2 * len(rows) and (k == 4 or out.columns == docs.columns)
+
+
+@pytest.mark.parametrize("bucket", [16, 4096])
+def test_links_of_sketches_are_those_of_brute_force(spark, bucket):
+    """Members of a large bucket that differ in more bits than the radius are compared, and those that share a fingerprint alone aren't linked."""
+    rng = random.Random(6)
+    flip = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(64), n))
+    sketches = []
+    free = [b for b in range(64) if not MASKS[0] >> b & 1]
+    for _ in range(8):
+        middle = [rng.getrandbits(64) for _ in range(8)]
+        for _ in range(25):
+            first = 12345 ^ sum(1 << b for b in rng.sample(free, 9))
+            sketches.append([first, *(flip(v, 4) for v in middle[1:])])
+    sketches += [[*(rng.getrandbits(64) for _ in range(7)), 99] for _ in range(60)]
+    sketches.sort(key=lambda x: signed(x[0]))
+    table = spark.createDataFrame([(signed(x[0]), [signed(v) for v in x]) for x in sketches], "node long, sketch array<long>")
+    least = {r["a"]: r["b"] for r in components(simhash.near_links(None, bucket=bucket, sketches=table, most=77)).collect()}
+    nodes = [signed(x[0]) for x in sketches]
+    want = brute_roots(sketches, 77)
+    assert len(set(nodes)) == 260 and [least.get(i, i) for i in nodes] == [nodes[k] for k in want] and len(set(want)) == 68

@@ -13,7 +13,8 @@ and fingerprints within the radius agree in one block at least. This goes on unt
 buckets are small, and loses no link.
 
 Texts can have a sketch of several fingerprints under different hashes. Those whose
-fingerprints meet in any table are then compared by all bits of their sketches.
+fingerprints meet in any table are then compared by all bits of their sketches. A large
+bucket is cut into parts by a hash, and each part is compared with itself and each other.
 """
 
 from __future__ import annotations
@@ -105,40 +106,49 @@ def sketch_limit(seeds: int, similarity: float) -> int:
     return math.floor(64 * seeds * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
-def forest(sketches: list[int] | list[list[int]], most: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of fingerprints, or of sketches (all signed), that differ in `most` bits or fewer. The first fingerprint stands for a sketch."""
-    rest = np.array(sorted(sketches), np.int64).reshape(len(sketches), -1).view(np.uint64)
+def forest(nodes: np.ndarray, sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the nodes whose sketches (rows of longs) differ in `most` bits or fewer."""
+    order = np.argsort(nodes, kind="stable")
+    names, rest = nodes[order], sketches[order].view(np.uint64)
     out = []
     while len(rest) > 1:
-        front, rest = [rest[0]], rest[1:]
+        front, names, rest = [(names[0], rest[0])], names[1:], rest[1:]
         while front and len(rest):
-            x = front.pop()
+            name, x = front.pop()
             near = np.bitwise_count(rest ^ x).sum(1) <= most
             if near.any():
-                met = rest[near]
-                rest = rest[~near]
-                front.extend(met)
-                out += [(int(x[0].view(np.int64)), y) for y in np.ascontiguousarray(met[:, 0]).view(np.int64).tolist()]
+                met = names[near]
+                front.extend(zip(met, rest[near], strict=True))
+                names, rest = names[~near], rest[~near]
+                out += [(int(name), y) for y in met.tolist()]
     return out
 
 
 def near_links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET, sketches: DataFrame | None = None, most: int = 0) -> DataFrame:
     """(a, b): links whose components are those of all pairs of fps with the same s within the radius. fps: distinct (s, fp), a small int and a long.
 
-    With sketches, a table of (node, sketch) that replaces fps, it links the nodes that
-    meet in a table and whose sketches differ in `most` bits or fewer. All within the
-    radius under some hash meet. In buckets above the limit equal fingerprints are links.
-    Links can then lead over longs that are no nodes.
+    With sketches, a table of (node, sketch) that replaces fps, the components are those
+    of all pairs of nodes that meet in a table and whose sketches differ in `most` bits or
+    fewer. All within the radius under some hash meet. The bucket's limit changes neither.
     """
     if bucket < 2 ** (radius + 1):
         raise ValueError("buckets can't get that small")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = []
+            for x in b.column(0):
+                rows = np.asarray(x.values.flatten()).reshape(len(x), -1)
+                got += forest(rows[:, 0], np.ascontiguousarray(rows[:, 1:]), limit)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
+
+    def link_fps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = []
             for x in b.column(0).to_pylist():
-                if sketches_of or len(x) > 2:
-                    got += forest(x, limit)
+                if len(x) > 2:
+                    fp = np.array(x, np.int64)
+                    got += forest(fp, fp.reshape(-1, 1), limit)
                 elif ((x[0] ^ x[1]) & (1 << 64) - 1).bit_count() <= limit:
                     got.append((x[0], x[1]))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
@@ -154,22 +164,23 @@ def near_links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET, sketches:
         shared = dealt.groupBy(place).agg(F.count("*").alias("n")).where("n > 1")
         members = materialize(dealt.join(shared, place), "buckets")
         small = members.where(F.col("n") <= bucket)
-        lists = small.join(sketches, "node").groupBy(place).agg(F.collect_list("sketch").alias("x")) if sketches_of else small.groupBy(place).agg(F.collect_list("node").alias("x"))
-        links = lists.select("x").mapInArrow(link, "a long, b long")
+        if sketches_of:
+            # two parts together are about as large as a bucket; one bucket's part meets all of its parts
+            parts = F.ceil(F.col("n") * 2 / bucket)
+            own, other = F.pmod(F.xxhash64("node"), parts), F.explode(F.sequence(F.lit(0), parts - 1))
+            large = members.where(F.col("n") > bucket).select(*place, "node", own.alias("own"), other.alias("other"))
+            pairs = small.select(*place, "node", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"))
+            pairs = pairs.unionByName(large.select(*place, "node", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).where("p < q"))
+            lists = pairs.join(sketches, "node").groupBy(*place, "p", "q").agg(F.collect_list(F.concat(F.array("node"), "sketch")).alias("x"))
+            return lists.select("x").mapInArrow(link, "a long, b long")
+        links = small.groupBy(place).agg(F.collect_list("node").alias("x")).select("x").mapInArrow(link_fps, "a long, b long")
         out = links if out is None else out.unionByName(links)
         large = members.where(F.col("n") > bucket)
         masks = [r[0] for r in large.select("mask").distinct().collect()]  # as many as there are masks
         if not masks:
             return out
         finer = spark.createDataFrame([(m, _signed(x)) for m in masks for x in _blocks(m & (1 << 64) - 1, radius + 1)], "mask long, finer long")
-        if sketches_of:
-            # many nodes can have one fingerprint under a hash: it stands between them, and one of them goes on
-            large = large.join(sketches, "node").select("s", "mask", "node", F.element_at("sketch", F.col("s") + 1).alias("fp"))
-            out = out.unionByName(large.select(F.col("node").alias("a"), F.col("fp").alias("b")))
-            large = large.groupBy("s", "mask", "fp").agg(F.min("node").alias("node"))
-        else:
-            large = large.withColumn("fp", F.col("node"))
-        dealt = large.join(F.broadcast(finer), "mask").select("s", "node", "fp", F.col("finer").alias("mask"))
+        dealt = large.withColumn("fp", F.col("node")).join(F.broadcast(finer), "mask").select("s", "node", "fp", F.col("finer").alias("mask"))
 
 
 def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, seeds: int = 1, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
