@@ -319,6 +319,17 @@ def test_quality(spark, sf_dir, documents, odd, none):
     assert quality.judge(odd, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_quality_catches_labelled_bad_rows(spark):
+    """Fitted on the labels of even ids: of odd ids that pass the base rules, most bad ones go and hardly a good one."""
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    label = {r["doc_id"]: r["quality"] for r in labels.where("doc_id % 2 = 1").collect()}
+    rows = quality.judge(spark.read.parquet(f"{sf}/documents.parquet"), labels.where("doc_id % 2 = 0")).where("NOT base_failed").collect()
+    good, bad = ([r["kept"] for r in rows if label.get(r["doc_id"]) == k] for k in (1, 0))
+    assert len(bad) >= 8 and sum(bad) <= 0.1 * len(bad)
+    assert sum(good) >= 0.97 * len(good)
+
+
 def test_toxicity(spark, documents, odd, none):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
