@@ -409,6 +409,23 @@ def test_mixing(spark, sf_dir, documents, odd, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_meets_targets_of_small_sources(spark):
+    """Each source gets its target whatever its size, and slots are the places of blocks of one size each."""
+    rng = random.Random(8)
+    words = {f"s{k:03}": [1 + rng.randrange(12) for _ in range(1 + k % 7)] for k in range(120)} | {"t": [200] * 900}
+    docs = [(i, "w " * n, "en", s) for i, (s, n) in enumerate((s, n) for s, ns in words.items() for n in ns)]
+    rows = rows_of(mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), weights=(1, 1)))
+    source, taken, slots = {d[0]: d[3] for d in docs}, Counter(), []
+    target = brute_targets({s: sum(ns) for s, ns in words.items()}, (1, 1))
+    for r in rows:
+        taken[source[r["doc_id"]]] += r["taken"]
+        assert (r["first_slot"] is not None) == (r["taken"] > 0)
+        slots += [r["first_slot"]] * (r["taken"] > 0 and source[r["doc_id"]] == "t")
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in words)
+    need = sum(-(-round(x) // 64) for x in target.values())
+    assert max(slots) < need and abs(sorted(slots)[len(slots) // 2] / need - 0.35) < 0.25
+
+
 def test_mixing_has_no_python(spark, sf_dir):
     plan = queries.op10_mixing(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)
