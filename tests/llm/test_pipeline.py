@@ -179,3 +179,20 @@ def test_links_of_sketches_are_those_of_brute_force(spark, bucket):
     nodes = [signed(x[0]) for x in sketches]
     want = brute_roots(sketches, 77)
     assert len(set(nodes)) == 260 and [least.get(i, i) for i in nodes] == [nodes[k] for k in want] and len(set(want)) == 68
+
+
+def test_every_sketch_of_one_first_fingerprint_is_compared(spark, monkeypatch):
+    """Of sketches with one first fingerprint, each finds its own near copies, and those far apart aren't linked."""
+    rng = random.Random(2)
+    a, b = ([7, *(rng.getrandbits(64) for _ in range(7))] for _ in range(2))
+    c = [rng.getrandbits(64), *(v ^ 1 for v in max(a[1:], b[1:], key=signed_all))]
+    rows = [(k, signed(x[0]), [signed(v) for v in x[1:]]) for k, x in enumerate((a, a, b, c))]
+    sketched = spark.createDataFrame(rows, "id long, fp long, more array<long>")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: sketched)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(sketched, 5, seeds=8).collect()}
+    want = brute_roots([a, a, b, c], 77)
+    assert [got[k] for k in range(4)] == want and len(set(want)) == 2
+
+
+def signed_all(values):
+    return [signed(v) for v in values]

@@ -188,7 +188,7 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, seeds: int =
 
     Rows with equal fingerprints are linked, and so are fingerprints within the radius.
     With seeds above 1, each text has a sketch of so many fingerprints under different
-    hashes. Texts that meet in a table of any of them are then linked if their sketches
+    hashes, and rows with equal sketches are linked. Texts that meet in a table of any of them are then linked if their sketches
     differ in no more bits than those of texts with the similarity do on average. Null
     text counts as empty; texts without a word have fingerprint zero, linked like any
     other. Rows that repeat an id get the component of their own text. Null ids are
@@ -196,18 +196,20 @@ def near_groups(docs: DataFrame, shingle: int = 3, radius: int = 3, seeds: int =
     empty table gives no rows; other columns aren't looked at.
     """
     rows = materialize(fingerprints(docs, shingle, seeds, id_col, text_col), "fingerprints")
-    # rows with one first fingerprint are one node; the least of their sketches stands for it
-    firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first"), *([F.min("more").alias("more")] if seeds > 1 else [])), "distinct-fingerprints")
     if seeds > 1:
-        sketches = firsts.select(F.col("fp").alias("node"), F.concat(F.array("fp"), "more").alias("sketch"))
-        links = near_links(firsts, radius, sketches=sketches, most=sketch_limit(seeds, similarity))
+        # rows with one sketch are one node
+        alike = ["fp", "more"]
+        firsts = materialize(rows.groupBy(alike).agg(F.min("id").alias("first")).withColumn("node", F.monotonically_increasing_id()), "distinct-sketches")
+        links = near_links(None, radius, sketches=firsts.select("node", F.concat(F.array("fp"), "more").alias("sketch")), most=sketch_limit(seeds, similarity))
     else:
+        alike = ["fp"]
+        firsts = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")).withColumn("node", F.col("fp")), "distinct-fingerprints")
         links = near_links(firsts.select(F.lit(0).alias("s"), "fp"), radius)
     roots = components(links)
-    member = firsts.join(roots.select(F.col("a").alias("fp"), "b"), "fp", "left").select("fp", "first", F.coalesce("b", "fp").alias("root"))
+    member = firsts.join(roots.select(F.col("a").alias("node"), "b"), "node", "left").select(*alike, "first", F.coalesce("b", "node").alias("root"))
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = member.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = member.join(least, "root").select(*alike, "component_id")
+    return rows.join(of, alike).select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, radius: int = 3, seeds: int = 8, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
