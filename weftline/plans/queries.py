@@ -585,11 +585,26 @@ def ml01_tfidf(spark, d):
 
 @query()
 def ml02_topics(spark, d):
-    return people.topics(people.tfidf(_features(spark, d), "email_id", 100), "email_id", 5)
+    return people.topics(people.tfidf(_features(spark, d), "email_id"), "email_id")
+
+
+def _scored(spark, d) -> people.Scored:
+    return people.run(_mails(spark, d), 5, SKILL_WORDS)
+
+
+@query()
+def ml10_skill_profile(spark, d):
+    scored = _scored(spark, d)
+    return people.skill_profile(scored.people, scored.features, scored.model, [people.column_of(s) for s in SKILL_WORDS])
+
+
+@query()
+def ml11_importances(spark, d):
+    scored = _scored(spark, d)
+    return people.importances(spark, scored.model, scored.features)
 
 
 @query()
 def ml13_people_pipeline(spark, d):
-    """All stages, with the linear model alone to keep it quick; decisions() of run() with all three models is in the tests."""
-    scored = people.run(_mails(spark, d), 5, SKILL_WORDS, 3, {"Ridge Regression": people.models(20)["Ridge Regression"]})
-    return people.decisions(scored.people, SKILL_WORDS)
+    """All stages, with the best of all models by cross-validation."""
+    return people.decisions(_scored(spark, d).people, SKILL_WORDS)
