@@ -57,11 +57,20 @@ def stem(token: Column) -> Column:
     return F.left(token, F.length(token) + cut)
 
 
+def _words(text: Column, letters: str, stopwords: Sequence[str], least: int = 1) -> Column:
+    """Runs of letters (a class of characters) in lower-case text that are no stopwords: one pass of one pattern, without a function for each word."""
+    stop = "|".join(sorted(stopwords, key=lambda w: (-len(w), w)))
+    return F.regexp_extract_all(F.lower(text), F.lit(f"(?<!{letters})(?!(?:{stop})(?!{letters}))({letters}{{{least},}})"), F.lit(1))
+
+
+def raw_tokens(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
+    """Runs of a-z and 0-9 that aren't stopwords, before stemming."""
+    return _words(unescape(F.coalesce(text.cast("string"), F.lit(""))), "[a-z0-9]", stopwords)
+
+
 def tokens(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Stems of the runs of a-z and 0-9 that aren't stopwords."""
-    found = F.regexp_extract_all(F.lower(clean_text(text)), F.lit("([a-z0-9]+)"), F.lit(1))
-    stop = F.array(*map(F.lit, stopwords))
-    return F.transform(F.filter(found, lambda t: ~F.array_contains(stop, t)), stem)
+    return F.transform(raw_tokens(text, stopwords), stem)
 
 
 def normalize_term(term: Column) -> Column:
@@ -71,9 +80,7 @@ def normalize_term(term: Column) -> Column:
 
 def mail_words(x: Column) -> Column:
     """Words of a-z with three letters or more, without stopwords, in order."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), r"[^a-z]+", " ")), " ")
-    stop = F.array(*map(F.lit, MAIL_STOPWORDS))
-    return F.filter(words, lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w))
+    return _words(F.coalesce(x, F.lit("")), "[a-z]", MAIL_STOPWORDS, 3)
 
 
 def clean_mail(x: Column) -> Column:
@@ -82,9 +89,7 @@ def clean_mail(x: Column) -> Column:
 
 def suggestion_words(x: Column) -> Column:
     """Words as they are written, without stopwords, units and numbers."""
-    found = F.regexp_extract_all(F.lower(clean_text(x)), F.lit("([a-z0-9]+)"), F.lit(1))
-    skip = F.array(*map(F.lit, [*STOPWORDS, *SUGGESTION_SKIP]))
-    return F.filter(found, lambda w: ~F.array_contains(skip, w) & ~F.rlike(w, F.lit("^[0-9]+$")))
+    return F.filter(raw_tokens(x, [*STOPWORDS, *SUGGESTION_SKIP]), lambda w: ~F.rlike(w, F.lit("^[0-9]+$")))
 
 
 def displayable(term: Column) -> Column:

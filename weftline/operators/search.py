@@ -1,19 +1,24 @@
-"""Ranked search over an inverted index: everything takes a batch of queries and is one lazy plan.
+"""Ranked search over an inverted index, for batches of queries (query_id, query).
 
-Tables: postings (term, doc_pos, tf, first_pos), idf (term, df, idf), vectors (term,
-doc_pos, weight, first_pos) and norms (doc_pos, norm). Queries are (query_id, query).
-Ranks are by the score rounded to six places, then by doc_pos.
+The index is written once, when it is first asked for: postings (term, doc_pos, tf,
+first_pos), idf (term, df, idf), norms (doc_pos, norm) and vectors (term, doc_pos,
+weight, first_pos, norm), the last in order of terms, so that a batch of queries reads
+the row groups of its own terms. Ranks are by the score rounded to six places, then by
+doc_pos.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.text import clean_text, displayable, tokens
+from weftline.functions.joins import join_one
+from weftline.functions.order import numbered
+from weftline.functions.text import clean_text, displayable, raw_tokens, stem, tokens
+from weftline.sources.tables import materialize, spread
 
 # Terms and what is searched along with them.
 SYNONYMS: dict[str, list[str]] = {
@@ -47,43 +52,75 @@ class Options:
     synonyms: dict[str, list[str]] = field(default_factory=lambda: SYNONYMS)
 
 
+#: Terms of a batch of queries that are looked up by name; a batch with more reads the whole table.
+MOST_NAMED = 5000
+
+
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """docs: (doc_pos, content)."""
-    each = docs.select("doc_pos", F.posexplode(tokens(F.col("content"))).alias("pos", "term"))
-    return each.groupBy("term", "doc_pos").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
+    """docs: (doc_pos, content). Words are stemmed after they are exploded, in generated code."""
+    each = docs.select("doc_pos", F.posexplode(raw_tokens(F.col("content"))).alias("pos", "word"))
+    return each.select("doc_pos", "pos", stem(F.col("word")).alias("term")).groupBy("term", "doc_pos").agg(F.count("*").alias("tf"), F.min("pos").alias("first_pos"))
 
 
 class SearchIndex:
-    """The index of docs (doc_pos, content). Counts the documents once; all else is lazy. cache() keeps the tables."""
+    """The index of docs (doc_pos, content). Each table is written when it is first used; the documents are read once for all of them."""
 
     def __init__(self, docs: DataFrame):
         self.docs = docs.select("doc_pos", "content")
-        self.n_docs = self.docs.count()
-        self.postings = term_frequencies(self.docs)
-        n = float(self.n_docs + 1)
-        self.idf = self.postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(n) / (F.col("df") + 1)) + 1.0)
-        self.vectors = self.postings.join(self.idf, "term").select("term", "doc_pos", (F.col("tf") * F.col("idf")).alias("weight"), "first_pos")
+
+    @cached_property
+    def n_docs(self) -> int:
+        return self.docs.count()
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        return materialize(term_frequencies(spread(self.docs)), "postings")
+
+    @cached_property
+    def idf(self) -> DataFrame:
+        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        return materialize(df.withColumn("idf", F.log(F.lit(float(self.n_docs + 1)) / (F.col("df") + 1)) + 1.0), "idf")
+
+    @cached_property
+    def _weighted(self) -> DataFrame:
+        made = join_one(self.postings, self.idf, ["term"], self.idf.select("term", F.col("df").alias("n")))
+        return materialize(made.select("term", "doc_pos", (F.col("tf") * F.col("idf")).alias("weight"), "first_pos"), "weights")
+
+    @cached_property
+    def _norms(self) -> DataFrame:
+        return materialize(self._weighted.groupBy("doc_pos").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm")), "norms")
 
     @property
     def norms(self) -> DataFrame:
         """Documents without terms have norm 1."""
-        some = self.vectors.groupBy("doc_pos").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-        return self.docs.select("doc_pos").join(some, "doc_pos", "left").select("doc_pos", F.coalesce("norm", F.lit(1.0)).alias("norm"))
-
-    def cache(self) -> SearchIndex:
-        for name in ("postings", "idf", "vectors"):
-            setattr(self, name, getattr(self, name).cache())
+        return self.docs.select("doc_pos").join(self._norms, "doc_pos", "left").select("doc_pos", F.coalesce("norm", F.lit(1.0)).alias("norm"))
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        made = self._weighted.join(self._norms, "doc_pos").select("term", "doc_pos", "weight", "first_pos", "norm")
+        return materialize(made.repartitionByRange("term", "doc_pos").sortWithinPartitions("term", "doc_pos"), "vectors")
+
+    @cached_property
+    def term_vectors(self) -> DataFrame:
+        """(term, bucket, value): hashed vectors of all terms."""
+        return materialize(embedding(self.idf.select("term"), ["term"], F.col("term")), "term-vectors")
+
+    def named(self, table: DataFrame, terms: DataFrame) -> DataFrame:
+        """The rows of one of the index's tables that have one of terms (term); pushed down to the files as far as these are MOST_NAMED."""
+        names = [r["term"] for r in terms.select("term").distinct().limit(MOST_NAMED + 1).collect()]
+        return table.where(F.col("term").isin(names)) if len(names) <= MOST_NAMED else table.join(terms.select("term").distinct(), "term", "left_semi")
+
+    def write(self) -> SearchIndex:
+        """Writes all tables now."""
+        _ = self.n_docs, self.vectors
         return self
 
     def stats(self) -> DataFrame:
         return self.docs.agg(F.count("*").alias("documents")).withColumn("vocabulary_terms", F.lit(self.idf.count()).cast("long"))
 
     def vocabulary(self) -> DataFrame:
-        """Terms with their place in sorted order, from 0. One row a term, in two levels, so that no task sorts them all."""
-        first = self.idf.select("term", F.substring("term", 1, 2).alias("part"))
-        before = first.groupBy("part").count().withColumn("base", F.sum("count").over(Window.orderBy("part")) - F.col("count")).drop("count")
-        ranked = first.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("term")) - 1)
-        return ranked.join(F.broadcast(before), "part").select("term", (F.col("base") + F.col("r")).alias("ordinal"))
+        """Terms with their place in sorted order, from 0."""
+        return numbered(self.idf.select("term"), "term", "ordinal")
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -94,36 +131,37 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def query_vector(weights: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, term, weight) times idf; terms that no document has, or without weight, go."""
-    return index.idf.join(F.broadcast(weights.where("weight > 0")), "term").select("query_id", "term", (F.col("weight") * F.col("idf")).alias("weight"))
+    weights = weights.where("weight > 0")
+    return index.named(index.idf, weights).join(weights, "term").select("query_id", "term", (F.col("weight") * F.col("idf")).alias("weight"))
 
 
 def and_candidates(terms: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, doc_pos) of documents that have all of a query's distinct terms. terms: (query_id, term)."""
     wanted = terms.select("query_id", "term").distinct().withColumn("n", F.count("*").over(Window.partitionBy("query_id")))
-    met = index.postings.select("term", "doc_pos").join(F.broadcast(wanted), "term")
+    met = index.named(index.vectors, wanted).select("term", "doc_pos").join(wanted, "term")
     return met.groupBy("query_id", "doc_pos").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c = n").select("query_id", "doc_pos")
 
 
 def or_candidates(terms: DataFrame, index: SearchIndex) -> DataFrame:
-    return index.postings.select("term", "doc_pos").join(F.broadcast(terms.select("query_id", "term").distinct()), "term").select("query_id", "doc_pos").distinct()
+    asked = terms.select("query_id", "term").distinct()
+    return index.named(index.vectors, asked).select("term", "doc_pos").join(asked, "term").select("query_id", "doc_pos").distinct()
 
 
 def group_candidates(groups: DataFrame, index: SearchIndex) -> DataFrame:
     """Documents with a term of every group. groups: (query_id, group_id, term)."""
     wanted = groups.withColumn("n", F.size(F.collect_set("group_id").over(Window.partitionBy("query_id"))))
-    met = index.postings.select("term", "doc_pos").join(F.broadcast(wanted), "term")
+    met = index.named(index.vectors, wanted).select("term", "doc_pos").join(wanted, "term")
     return met.groupBy("query_id", "doc_pos").agg(F.countDistinct("group_id").alias("c"), F.first("n").alias("n")).where("c = n").select("query_id", "doc_pos")
 
 
 def score_candidates(candidates: DataFrame | None, vector: DataFrame, index: SearchIndex) -> DataFrame:
     """(query_id, doc_pos, score): cosines above 0. candidates None scores every document that shares a term."""
     norm = vector.groupBy("query_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("q_norm"))
-    met = index.vectors.join(F.broadcast(vector.withColumnRenamed("weight", "q")), "term")
-    dots = met.groupBy("query_id", "doc_pos").agg(F.sum(F.col("q") * F.col("weight")).alias("dot"))
+    met = index.named(index.vectors, vector).join(vector.withColumnRenamed("weight", "q"), "term")
+    dots = met.groupBy("query_id", "doc_pos").agg(F.sum(F.col("q") * F.col("weight")).alias("dot"), F.first("norm").alias("norm"))
     if candidates is not None:
         dots = dots.join(candidates, ["query_id", "doc_pos"], "left_semi")
-    cosine = F.col("dot") / (F.col("q_norm") * F.col("norm"))
-    return dots.join(F.broadcast(norm), "query_id").join(index.norms, "doc_pos").select("query_id", "doc_pos", cosine.alias("score")).where("score > 0")
+    return dots.join(norm, "query_id").select("query_id", "doc_pos", (F.col("dot") / (F.col("q_norm") * F.col("norm"))).alias("score")).where("score > 0")
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -133,7 +171,7 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 def search(queries: DataFrame, index: SearchIndex, k: int = 10) -> DataFrame:
     """Documents with all of a query's known terms, by cosine. Queries without a known term give no rows."""
-    vector = query_vector(query_terms(queries).withColumn("weight", F.col("tf").cast("double")), index)
+    vector = materialize(query_vector(query_terms(queries).withColumn("weight", F.col("tf").cast("double")), index), "query-vector")
     return top(score_candidates(and_candidates(vector, index), vector, index), k)
 
 
@@ -147,7 +185,7 @@ def synonym_table(spark, raw: dict[str, list[str]]) -> DataFrame:
 
 def synonym_terms(terms: DataFrame, synonyms: DataFrame, each: int = TOP) -> DataFrame:
     """(query_id, term, ord): synonyms that aren't among the query's own terms, in the order they come up."""
-    met = terms.join(F.broadcast(synonyms.where(F.col("ord") <= each)), "term").select("query_id", F.col("synonym").alias("term"), F.struct("first_pos", "ord").alias("at"))
+    met = terms.join(synonyms.where(F.col("ord") <= each), "term").select("query_id", F.col("synonym").alias("term"), F.struct("first_pos", "ord").alias("at"))
     new = met.groupBy("query_id", "term").agg(F.min("at").alias("at")).join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti")
     return new.select("query_id", "term", F.row_number().over(Window.partitionBy("query_id").orderBy("at")).alias("ord"))
 
@@ -155,13 +193,13 @@ def synonym_terms(terms: DataFrame, synonyms: DataFrame, each: int = TOP) -> Dat
 def term_groups(terms: DataFrame, synonyms: DataFrame, each: int = TOP) -> DataFrame:
     """(query_id, group_id, term): a group for each term, of itself and its synonyms."""
     own = terms.select("query_id", F.col("term").alias("group_id"), "term")
-    more = terms.join(F.broadcast(synonyms.where(F.col("ord") <= each)), "term").select("query_id", F.col("term").alias("group_id"), F.col("synonym").alias("term"))
+    more = terms.join(synonyms.where(F.col("ord") <= each), "term").select("query_id", F.col("term").alias("group_id"), F.col("synonym").alias("term"))
     return own.unionByName(more).distinct()
 
 
 def feedback_terms(ranked: DataFrame, exclude: DataFrame, index: SearchIndex, n: int = 5) -> DataFrame:
     """(query_id, term, ord): the heaviest terms of the ranked documents, without those in exclude."""
-    met = index.vectors.join(F.broadcast(ranked.select("query_id", "doc_pos", "rank")), "doc_pos").join(F.broadcast(exclude.select("query_id", "term")), ["query_id", "term"], "left_anti")
+    met = index.vectors.select("term", "doc_pos", "weight", "first_pos").join(ranked.select("query_id", "doc_pos", "rank"), "doc_pos").join(exclude.select("query_id", "term"), ["query_id", "term"], "left_anti")
     sums = met.groupBy("query_id", "term").agg(F.sum("weight").alias("w"), F.min(F.struct("rank", "first_pos")).alias("at"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("w", 6)), "at"))
     return sums.withColumn("ord", place).where(F.col("ord") <= n).select("query_id", "term", "ord")
@@ -189,16 +227,21 @@ def expand(queries: DataFrame, index: SearchIndex, options: Options | None = Non
     """
     o = options or Options()
     spark = queries.sparkSession
-    every = query_terms(queries)
-    known = every.join(index.idf.select("term"), "term", "left_semi").select("query_id").distinct()
-    base = every.join(F.broadcast(known), "query_id", "left_semi")
+    # what a batch of queries comes to is written at each step: later steps use it many times
+    every = materialize(query_terms(queries), "query-terms")
+    known = index.named(index.idf, every).select("term").join(every, "term").select("query_id").distinct()
+    base = materialize(every.join(known, "query_id", "left_semi"), "base-terms")
     nothing = spark.createDataFrame([], "query_id long, term string, ord int").withColumn("query_id", F.col("query_id").cast(base.schema["query_id"].dataType))
-    exact = and_candidates(base, index)
-    base_vector = query_vector(base.withColumn("weight", F.col("tf").cast("double")), index)
-    feedback = feedback_terms(top(score_candidates(exact, base_vector, index), o.feedback_docs), base, index, o.feedback_terms) if o.use_feedback else nothing
-    table = synonym_table(spark, o.synonyms) if o.use_synonyms else None
-    synonyms = synonym_terms(base, table) if o.use_synonyms else nothing
-    near = embed(base, o.embedding_top_n, o.embedding_min_sim) if o.use_embeddings and embed else nothing
+    exact = materialize(and_candidates(base, index), "exact-candidates")
+    if o.use_feedback:
+        base_vector = materialize(query_vector(base.withColumn("weight", F.col("tf").cast("double")), index), "base-vector")
+        ranked = materialize(top(score_candidates(exact, base_vector, index), o.feedback_docs), "feedback-documents")
+        feedback = materialize(feedback_terms(ranked, base, index, o.feedback_terms), "feedback-terms")
+    else:
+        feedback = nothing
+    table = materialize(synonym_table(spark, o.synonyms), "synonyms") if o.use_synonyms else None
+    synonyms = materialize(synonym_terms(base, table), "synonym-terms") if o.use_synonyms else nothing
+    near = materialize(embed(base, o.embedding_top_n, o.embedding_min_sim), "near-terms") if o.use_embeddings and embed else nothing
     kinds = [("synonym", synonyms, o.synonym_weight), ("feedback", feedback, o.feedback_weight), ("embedding", near, o.embedding_weight)]
     weights = base.select("query_id", "term", F.lit(0).alias("p"), F.col("tf").cast("double").alias("w"))
     listed = None
@@ -206,14 +249,14 @@ def expand(queries: DataFrame, index: SearchIndex, options: Options | None = Non
         weights = weights.unionByName(df.select("query_id", "term", F.lit(p).alias("p"), F.lit(w).alias("w")))
         one = df.select("query_id", "term", F.lit(kind).alias("kind"), F.lit(p).alias("p"), "ord")
         listed = one if listed is None else listed.unionByName(one)
-    vector = query_vector(weights.groupBy("query_id", "term").agg(F.min_by("w", "p").alias("weight")), index)
+    vector = materialize(query_vector(weights.groupBy("query_id", "term").agg(F.min_by("w", "p").alias("weight")), index), "expanded-vector")
     first = F.row_number().over(Window.partitionBy("query_id", "term").orderBy("p", "ord"))
     shown = listed.where(displayable(F.col("term"))).withColumn("f", first).where("f = 1")
     shown = shown.select("query_id", "term", "kind", "ord", F.row_number().over(Window.partitionBy("query_id").orderBy("p", "ord")).alias("place"))
-    candidates = exact.unionByName(or_candidates(near, index))
+    candidates = exact.unionByName(or_candidates(near, index)) if near is not nothing else exact
     if o.use_synonyms:
         candidates = candidates.unionByName(group_candidates(term_groups(base, table), index))
-    candidates = candidates.distinct()
+    candidates = materialize(candidates.distinct(), "candidates")
     rest = vector.join(candidates.select("query_id").distinct(), "query_id", "left_anti")
     return Expansion(base, synonyms, feedback, near, shown, vector, candidates.unionByName(or_candidates(rest, index)))
 
@@ -225,7 +268,7 @@ def search_expanded(queries: DataFrame, index: SearchIndex, options: Options | N
 
 def suggested_queries(queries: DataFrame, terms: DataFrame, most: int = 4) -> DataFrame:
     """(query_id, ord, suggestion): the query with each of the expansion's terms, those first that come first."""
-    made = terms.join(F.broadcast(queries.select("query_id", clean_text(F.col("query")).alias("q"))), "query_id").where("q != ''").withColumn("suggestion", F.concat_ws(" ", "q", "term"))
+    made = terms.join(queries.select("query_id", clean_text(F.col("query")).alias("q")), "query_id").where("q != ''").withColumn("suggestion", F.concat_ws(" ", "q", "term"))
     return made.where(F.col("place") <= most).select("query_id", F.col("place").alias("ord"), "suggestion")
 
 
@@ -263,14 +306,13 @@ def embedding(df: DataFrame, keys: list[str], text: Column, dimensions: int = 25
 
 def near_terms(terms: DataFrame, vocabulary: DataFrame, n: int = 5, min_sim: float = 0.35) -> DataFrame:
     """(query_id, term, ord): vocabulary terms whose vectors are nearest to the query's."""
+    return near_terms_in(terms, embedding(vocabulary, ["term"], F.col("term")), n, min_sim)
+
+
+def near_terms_in(terms: DataFrame, vectors: DataFrame, n: int = 5, min_sim: float = 0.35) -> DataFrame:
+    """near_terms() with the vocabulary's vectors (term, bucket, value) at hand."""
     text = terms.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_pos", "term"))), lambda x: x["term"]), " ").alias("text"))
     asked = embedding(text, ["query_id"], F.col("text")).withColumnRenamed("value", "q")
-    sims = embedding(vocabulary, ["term"], F.col("term")).join(F.broadcast(asked), "bucket").groupBy("query_id", "term").agg(F.sum(F.col("q") * F.col("value")).alias("sim"))
-    new = sims.where(F.round("sim", 6) >= min_sim).join(F.broadcast(terms.select("query_id", "term")), ["query_id", "term"], "left_anti")
+    sims = vectors.join(asked, "bucket").groupBy("query_id", "term").agg(F.sum(F.col("q") * F.col("value")).alias("sim"))
+    new = sims.where(F.round("sim", 6) >= min_sim).join(terms.select("query_id", "term"), ["query_id", "term"], "left_anti")
     return new.withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("sim", 6)), "term"))).where(F.col("ord") <= n).select("query_id", "term", "ord")
-
-
-def idf_of(n_docs: int, df: int) -> float:
-    return math.log((n_docs + 1) / (df + 1)) + 1
-
-

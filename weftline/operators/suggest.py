@@ -14,6 +14,10 @@ from weftline.operators.search import SYNONYMS
 TEST_QUERIES = ("aloe vera shampoo", "beard oil", "baby wipes", "hair gel", "shaving cream", "curl defining shampoo", "children wipes", "anti dandruff shampoo")
 
 
+#: Characters by which phrases and queries are brought together before they are compared.
+GRAM = 3
+
+
 def _prefixes(words: Column, most: int) -> Column:
     n = F.least(F.lit(most), F.size(words))
     return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(F.array_join(F.slice(words, F.lit(1), k), " ").alias("phrase"), k.alias("size")))).otherwise(F.array().cast("array<struct<phrase:string,size:int>>"))
@@ -49,8 +53,14 @@ def suggestion_score(query: Column, phrase: Column, weight: Column) -> Column:
 
 
 def suggest(queries: DataFrame, weights: DataFrame, limit: int = 8) -> DataFrame:
-    """(query_id, rank, suggestion) by score, then the shorter, then the first by name. Queries of less than two letters have none."""
-    asked = queries.select("query_id", F.lower(clean_text(F.col("query"))).alias("q")).where(F.length("q") >= 2)
-    scored = weights.join(F.broadcast(asked), F.contains(F.col("phrase"), F.col("q"))).withColumn("score", suggestion_score(F.col("q"), F.col("phrase"), F.col("weight"))).where("score IS NOT NULL")
+    """(query_id, rank, suggestion) by score, then the shorter, then the first by name. Queries of less than two letters have none.
+
+    A phrase that has a query in it has the query's first GRAM characters in it, so the two
+    meet in an equal join on these, and no phrase is compared with every query.
+    """
+    asked = queries.select("query_id", F.lower(clean_text(F.col("query"))).alias("q")).where(F.length("q") >= 2).withColumn("gram", F.left("q", F.lit(GRAM)))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("phrase") - (n - 1), F.lit(1))), lambda i: F.substring("phrase", i, F.lit(n)))
+    listed = weights.select("phrase", "weight", F.explode(F.array_distinct(F.concat(*[grams(n) for n in range(2, GRAM + 1)]))).alias("gram"))
+    scored = listed.join(asked, "gram").where(F.contains(F.col("phrase"), F.col("q"))).withColumn("score", suggestion_score(F.col("q"), F.col("phrase"), F.col("weight"))).where("score IS NOT NULL")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.length("phrase"), "phrase"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query_id", "rank", F.col("phrase").alias("suggestion"), "score")

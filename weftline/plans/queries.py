@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from weftline.functions import catalog as C
 from weftline.functions import text as X
+from weftline.functions.order import numbered
 from weftline.operators import ingest, people, search, social, suggest
 from weftline.operators.documents import build_documents
-from weftline.sources import io
+from weftline.sources import io, sinks
+from weftline.sources.tables import read_table, spread
 
 ASKED = ((0, "thble thing"), (1, "attion ering thing"), (2, "thing qqqq"), (3, "the of"), (4, "ering"), (5, ""), (6, "onble tion and anre"))
 NEAR = {"thble": ["thing", "onble"], "thing": ["attion thble", "ering", "anre"], "ering": ["tion"], "qqqq": ["thre"], "things": ["reing", "anly"]}
@@ -32,7 +34,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
 
 
 def lit(xs) -> str:
@@ -314,10 +316,21 @@ def sr10_term_vectors(spark, d):
     return search.embedding(_index(spark, d).idf.select("term"), ["term"], F.col("term")).select("term", "bucket", F.round("value", 6).alias("value"))
 
 
-@query()
+def _sql_vectors(name: str, source: str, key: str, text: str) -> str:
+    """name (key, bucket, value): hashed vectors of the texts of source."""
+    return f""", {name}t AS (SELECT {key}, unnest({sql_tokens(text)}) AS t FROM {source}),
+{name}g AS (SELECT {key}, t AS g FROM {name}t UNION ALL SELECT {key}, substr('^' || t || '$', i, 3) FROM (SELECT {key}, t, unnest(range(1, length(t) + 1)) AS i FROM {name}t)),
+{name}b AS (SELECT {key}, ('0x' || md5(g)[:8])::BIGINT % 256 AS bucket, count(*) AS c FROM {name}g GROUP BY ALL),
+{name} AS (SELECT {key}, bucket, c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS value FROM {name}b)"""
+
+
+@query(_INDEX + _sql_vectors("tv", "idf", "term", "term") + ", qx AS (SELECT query_id, string_agg(term, ' ' ORDER BY first_pos) AS text FROM qt GROUP BY query_id)" + _sql_vectors("av", "qx", "query_id", "text") + """,
+sim AS (SELECT query_id, term, sum(a.value * t.value) AS sim FROM tv t JOIN av a USING (bucket) GROUP BY query_id, term)
+SELECT query_id, term, ord FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 6) DESC, term) AS ord FROM sim
+  WHERE round(sim, 6) >= 0.35 AND NOT EXISTS (FROM qt WHERE qt.query_id = sim.query_id AND qt.term = sim.term)) WHERE ord <= 5""")
 def sr12_near_terms(spark, d):
     index = _index(spark, d)
-    return search.near_terms(search.query_terms(_asked(spark)), index.idf.select("term"), 5, 0.35)
+    return search.near_terms(search.query_terms(_asked(spark)), index.idf.select("term"), 5, 0.35).withColumn("ord", F.col("ord").cast("long"))
 
 
 # suggestions
@@ -475,6 +488,57 @@ def sc31_page_details(spark, d):
     return ingest.page_details(table(spark, d, "pages").select("page_id", "html")).select("page_id", "title")
 
 
+def sql_text(html: str) -> str:
+    """html_to_text() for the few entities that the pages have."""
+    for name, c in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+        html = f"replace({html}, '{name}', '{c}')" if html.startswith("replace(") else f"replace(regexp_replace({html}, '<[^>]+>', ' ', 'g'), '{name}', '{c}')"
+    return f"trim(regexp_replace({html}, '\\s+', ' ', 'g'))"
+
+
+def sql_sold_out(html: str) -> str:
+    return f"(regexp_matches({sql_text(html)}, '(?i)sold\\s*out') OR contains({html}, 'f-badge--soldout') OR regexp_matches({html}, '(?is)<button[^>]*name=[\"'']add[\"''][^>]*\\bdisabled'))"
+
+
+@query(f"""WITH l AS (SELECT page_id, regexp_extract_all(html, '(?is)<a\\b[^>]*href=["''][^"'']*["''][^>]*>.*?</a>') AS l FROM pages),
+a AS (SELECT page_id, unnest(l) AS a, generate_subscripts(l, 1) - 1 AS card FROM l)
+SELECT page_id, card, regexp_extract(a, '(?is)href=["'']([^"'']*)', 1) AS href, {sql_text('a')} AS name, regexp_extract(a, '(?is)price-item--(?:sale|regular)[^>]*>([^<]*)', 1) AS price, {sql_sold_out('a')} AS sold_out
+FROM a WHERE {sql_text('a')} <> ''""")
+def sc30_card_rows(spark, d):
+    return ingest.cards(table(spark, d, "pages").select("page_id", "html")).withColumn("card", F.col("card").cast("long"))
+
+
+@query(f"""WITH p AS (SELECT page_id, html, {sql_text("regexp_extract(html, '(?is)<h1\\b[^>]*>(.*?)</h1>', 1)")} AS h1, {sql_text("regexp_extract(html, '(?is)<title\\b[^>]*>(.*?)</title>', 1)")} AS t,
+ {sql_text("regexp_extract(html, '(?is)<p\\b[^>]*>(.*?)</p>', 1)")} AS p, regexp_extract(html, '(?is)<meta[^>]*name=["'']description["''][^>]*content=["'']([^"'']*)', 1) AS m,
+ regexp_extract({sql_text('html')}, '(?i)\\b([0-9]+)\\s+(?:left\\s+)?in stock', 1) AS n FROM pages)
+SELECT page_id, CASE WHEN h1 <> '' THEN h1 ELSE t END AS title, CASE WHEN p <> '' THEN p ELSE m END AS description,
+ CASE WHEN n <> '' THEN n WHEN {sql_sold_out('html')} THEN '0' WHEN regexp_matches(html, '(?i)add to cart') THEN 'in stock' ELSE '' END AS stock FROM p""")
+def sc31_page_rows(spark, d):
+    return ingest.page_details(table(spark, d, "pages").select("page_id", "html")).drop("html")
+
+
+@query("SELECT c_custkey, 'https://x.example/c?sort=' || (c_custkey % 3) || '&filter.p.tag=' || replace(replace(c_name, '#', '%23'), ' ', '+') || '#top' AS url FROM customer")
+def sc25_filter_urls(spark, d):
+    k = F.col("c_custkey")
+    url = F.concat(F.lit("https://x.example/c?page=2&filter.p.tag=old&sort="), k % 3, F.when(k % 2 == 0, "&page=7").otherwise(""), F.lit("#top"))
+    return table(spark, d, "customer").select("c_custkey", C.filter_url(url, F.col("c_name")).alias("url"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS key, p_brand AS own FROM part), f AS (SELECT DISTINCT s_suppkey AS key, 'From ' || n_name AS feature FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT r.key, array_to_string(list_sort(list_filter([own, feature], lambda x: x IS NOT NULL)), '; ') AS features FROM r LEFT JOIN f USING (key)""")
+def jn13_add_features(spark, d):
+    records = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.concat(F.lit("part "), "p_partkey").alias("name"), F.lit("").alias("url"), F.array("p_brand").alias("features"))
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    coming = s.select(F.concat(F.lit("Part-"), "s_suppkey").alias("name"), F.lit("").alias("url"), F.concat(F.lit(" From "), "n_name", F.lit(" (4)")).alias("feature"))
+    coming = coming.unionByName(coming).unionByName(coming.select(F.lit("no such record").alias("name"), "url", "feature"))
+    return ingest.add_features(records, coming).select("key", F.array_join("features", "; ").alias("features"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS doc_pos FROM orders")
+def wn03_numbered(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss.SSS"), F.format_string("%012d", "o_orderkey")).alias("at"))
+    return numbered(o, "at").select("o_orderkey", "doc_pos")
+
+
 @query("SELECT n_regionkey AS page, min(n_nationkey) AS pos, arg_min(n_name, n_nationkey) AS label, arg_min(n_name[:1], n_nationkey) AS value FROM nation WHERE n_nationkey % 7 > 0 GROUP BY n_regionkey, lower(n_name[:1])")
 def sc32_filter_options(spark, d):
     n = table(spark, d, "nation")
@@ -507,7 +571,7 @@ def jn12_match(spark, d):
 # people from documents and labels
 
 def _mails(spark, d) -> DataFrame:
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    docs = spread(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id", "left")
     flag = F.when(F.col("toxic") == 1, "Negative - Abuse").when(F.col("quality") == 0, "Negative").when(F.col("doc_id") % 10 == 0, "Positive - Exemplary").when(F.col("quality") == 1, "Positive")
     return docs.select(F.col("doc_id").alias("email_id"), F.col("source").alias("from_name"), F.col("lang").alias("subject"), F.col("text").alias("body"), F.when(F.col("doc_id") % 4 == 0, "gap").alias("skill_gap"), flag.alias("behavior_flag"))
 
@@ -592,6 +656,24 @@ def _scored(spark, d) -> people.Scored:
     return people.run(_mails(spark, d), 5, SKILL_WORDS)
 
 
+@query()
+def ml04_clusters(spark, d):
+    """Clusters of people, numbered by their mean flag."""
+    return people.clusters(_matrix(spark, d), ["flag_score", *map(people.column_of, SKILL_WORDS), "log_email_count"]).select("from_name", "flag_score", "cluster")
+
+
+@query()
+def ml07_cross_validation(spark, d):
+    """R2 and RMSE of each model, and which one is chosen."""
+    scored = _scored(spark, d)
+    return spark.createDataFrame([(k, x["r2"], x["rmse"], k == scored.model_name) for k, x in scored.cv.items()], "model string, r2 double, rmse double, chosen boolean")
+
+
+@query()
+def ag15_decision_counts(spark, d):
+    return sinks.decision_counts(_scored(spark, d).people)
+
+
 @query()
 def ml10_skill_profile(spark, d):
     scored = _scored(spark, d)

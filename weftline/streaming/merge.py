@@ -19,7 +19,7 @@ def first_visits(urls: DataFrame, late: str = "1 day") -> DataFrame:
     return urls.withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["url"])
 
 
-def merge_into(path: str, key: str = "key", order: str = "at"):
+def merge_into(path: str):
     """For foreachBatch: appends the batch's events as its own folder, so that a batch that runs twice is written once; read with merged()."""
 
     def write(batch: DataFrame, number: int) -> None:
