@@ -9,8 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables of fewer bytes than this for each core are dealt out to all cores as they are read.
-SMALL = 16 << 20
+#: Tables of fewer bytes than this for each core, in fewer parts than there are cores, are dealt out to all of them as they are read.
+SMALL = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,4 +56,4 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL * cores else df
+    return df.repartition(cores) if size < SMALL * cores and df.rdd.getNumPartitions() < cores else df
