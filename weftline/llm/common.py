@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.joins import join_one
+from weftline.sources.tables import drop_tables, materialize, read_table, shared_dir, spread
+
+__all__ = ["drop_tables", "fresh", "hash_share", "join_one", "materialize", "n_words", "shared_dir", "shuffle_parts", "small_batches", "table", "text_or_empty"]
+
 #: Words are runs of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
-    key = "spark.checkpoint.dir"
-    at = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
-    if not at:
-        at = tempfile.mkdtemp(prefix="weftline-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set(key, at)
-    return at.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back, which cuts the lineage.
-
-    The files outlive lost executors. They go with the shared folder, or with drop_tables().
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_tables(spark: SparkSession) -> None:
-    """Removes every table that materialize() has left in the shared folder; no result may still need them."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/weftline-tables")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(read_table(spark, sf_dir, name))
 
 
 #: Rows that one Arrow batch has at most where texts go through Python.
@@ -59,6 +30,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def hash_share(h: Column, most: int, rows: int) -> Column:
+    """Whether a 64-bit hash is among the smallest, so that of that many rows (with distinct hashes) a little more than `most` are, all if there are fewer. No row goes to the driver for it."""
+    part = (most + 10 * most**0.5 + 10) / max(1, rows)
+    return F.lit(True) if part >= 1 else h < F.lit(int((part - 0.5) * 2.0**64))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores before it as it takes to clash with no column of df."""
     have = {c.lower() for c in df.columns}
