@@ -3,22 +3,24 @@
 The lexicon is learned: words and word starts that labelled toxic documents have and
 others hardly do. Features are how many of a document's words are in it and how close
 these are to words of the second person, and the rates of capitals, punctuation and
-obfuscated words. Trees are grown on a bounded sample of labelled rows; a fold that the
-trees haven't seen turns their sums into probabilities that never fall as the sum rises.
+obfuscated words. Lexicon and trees are learned from a bounded sample of labelled rows. Its folds are
+scored by models of the other folds, which have seen neither their words nor their
+features, and these scores turn the trees' sums into probabilities that never fall as
+the sum rises.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, small_batches, text_or_empty
+from weftline.llm.common import SPACE, hash_share, materialize, small_batches, text_or_empty
 
 # Words of the second person in four languages, and characters that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine tu te toi ton ta tes vous votre vos usted ustedes tú ti vosotros vuestro".split())
@@ -27,6 +29,8 @@ LOOKALIKES = str.maketrans("013457@$", "oieastas")
 #: Labelled rows of each class that are learned from, and entries of the lexicon, at most.
 SAMPLE, LEXICON = 10_000, 2000
 STARTS = (4, 5, 6)
+#: Parts of the sample that are left out in turn.
+FOLDS = 3
 FEATURES = ("log_words", "hit_rate", "log_hits", "kinds", "strongest", "near_second_person", "capitals", "punctuation", "shouts", "obfuscated")
 
 
@@ -66,19 +70,27 @@ def features(text: str, words: _Words) -> list[float]:
     return [math.log1p(len(tokens)), len(hits) / n, math.log1p(len(hits)), len({plain(tokens[i]) for i, _ in hits}), max([w for _, w in hits], default=0.0), near, kinds[65:91].sum() / chars, (kinds[33:48].sum() + kinds[58:65].sum()) / chars, kinds[33] / chars, sum(x[1] for x in got) / n]
 
 
-def learn_lexicon(rows: DataFrame, most: int = LEXICON) -> dict[str, float]:
-    """Log odds of the words ("=word") and word starts ("4abcd") of rows (text, toxic) that are far likelier in toxic texts."""
+def learn_lexicons(rows: DataFrame, most: int = LEXICON) -> list[dict[str, float]]:
+    """Log odds of the words ("=word") and word starts ("4abcd") that are far likelier in toxic texts of rows (text, toxic, fold): without each fold in turn, then of all. Rows are gone through once."""
     words = F.filter(F.transform(F.split(F.lower("text"), SPACE), lambda w: F.regexp_replace(w, r"[^\p{L}]", "")), lambda w: F.length(w) > 1)
     starts = [F.transform(F.filter("w", lambda x, n=n: F.length(x) >= n), lambda x, n=n: F.concat(F.lit(str(n)), F.substring(x, 1, n))) for n in STARTS]
-    terms = rows.withColumn("w", words).select("toxic", F.explode(F.array_distinct(F.concat(F.transform("w", lambda x: F.concat(F.lit("="), x)), *starts))).alias("term"))
-    sums = rows.agg(F.sum("toxic"), F.count("*")).first()
-    if not sums[0]:
-        return {}
-    n_toxic, n_other = sums[0], max(1, sums[1] - sums[0])
-    by = terms.groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    odds = F.log(((F.col("t") + 0.1) / n_toxic) / ((F.col("n") - F.col("t") + 0.1) / n_other))
-    best = by.withColumn("odds", odds).where((F.col("t") >= max(3, n_toxic // 1000)) & (F.col("odds") >= 3)).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term").limit(most)
-    return {r["term"]: float(r["odds"]) for r in best.collect()}
+    terms = rows.withColumn("w", words).select("toxic", "fold", F.explode(F.array_distinct(F.concat(F.transform("w", lambda x: F.concat(F.lit("="), x)), *starts))).alias("term"))
+    counts = lambda: [f(F.when(F.col("fold") == k, c)).alias(f"{n}{k}") for k in range(FOLDS) for n, f, c in (("t", F.sum, F.col("toxic")), ("n", F.count, F.lit(1)))]
+    sums = rows.agg(*counts()).first().asDict()
+    least = 3
+    by = materialize(terms.groupBy("term").agg(*counts()).na.fill(0).where(sum((F.col(f"t{k}") for k in range(FOLDS)), F.lit(0)) >= least), "toxic-terms")
+    out = []
+    for left in (*range(FOLDS), None):
+        folds = [k for k in range(FOLDS) if k != left]
+        n_toxic, n_all = (sum(sums[f"{c}{k}"] or 0 for k in folds) for c in "tn")
+        if not n_toxic:
+            out.append({})
+            continue
+        t, n = (sum((F.col(f"{c}{k}") for k in folds), F.lit(0)) for c in "tn")
+        odds = F.log(((t + 0.1) / n_toxic) / ((n - t + 0.1) / max(1, n_all - n_toxic)))
+        best = by.select("term", t.alias("t"), odds.alias("odds")).where((F.col("t") >= max(least, n_toxic // 1000)) & (F.col("odds") >= 3)).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "term").limit(most)
+        out.append({r["term"]: float(r["odds"]) for r in best.collect()})
+    return out
 
 
 class BoostedTrees:
@@ -132,27 +144,29 @@ class BoostedTrees:
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points of the non-decreasing function nearest to y over x, by pooling neighbours that fall."""
-    order = np.argsort(x, kind="stable")
+    values, at = np.unique(x, return_inverse=True)  # rows with one x are one step
     blocks: list[list[float]] = []  # sum, weight, highest x
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        if blocks and blocks[-1][2] == a:
-            blocks[-1][0] += b
-            blocks[-1][1] += 1
-        else:
-            blocks.append([b, 1, a])
+    for v, total, n in zip(values.tolist(), np.bincount(at, y, len(values)).tolist(), np.bincount(at, minlength=len(values)).tolist(), strict=True):
+        blocks.append([total, n, v])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            s, w, at = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + w, at]
+            s, w, top = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + w, top]
     return np.array([b[2] for b in blocks]), np.array([b[0] / b[1] for b in blocks])
 
 
 class ToxicModel:
-    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, fold: np.ndarray):
-        """fold: True for rows that calibrate and don't grow trees."""
+    def __init__(self, lexicon: dict[str, float], x: Sequence[np.ndarray], y: np.ndarray, fold: np.ndarray):
+        """x: the rows' features by the lexicon without each fold, then by the lexicon of all."""
         self.lexicon = lexicon
-        self.trees = BoostedTrees(x[~fold], y[~fold])
-        use = fold if fold.any() and 0 < y[fold].sum() < fold.sum() else np.ones(len(y), bool)
-        self.at, self.p = isotonic(self.trees.raw(x[use]), y[use]) if len(y) else (np.zeros(1), np.zeros(1))
+        self.trees = BoostedTrees(x[-1], y)
+        raw = np.zeros(len(y))
+        for k in range(FOLDS):
+            held = fold == k
+            if held.any() and len(set(y[~held].tolist())) == 2:
+                raw[held] = BoostedTrees(x[k][~held], y[~held]).raw(x[k][held])
+            else:  # too few rows to leave some out
+                raw[held] = self.trees.raw(x[-1][held])
+        self.at, self.p = isotonic(raw, y) if len(y) else (np.zeros(1), np.zeros(1))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         raw = self.trees.raw(x)
@@ -170,37 +184,61 @@ def held_out(id_col: str, folds: int = 5, of: int = 0):
 _words: dict[int, _Words] = {}
 
 
-def _measure(docs: DataFrame, lexicon: dict[str, float], score=None) -> DataFrame:
+def _of(lexicon: dict[str, float]) -> _Words:
+    """A lexicon's words as this Python worker has met them."""
+    key = hash(frozenset(lexicon.items()))
+    if key not in _words:
+        if len(_words) > FOLDS:
+            _words.clear()
+        _words[key] = _Words(lexicon, (1 << 18) // (FOLDS + 1))
+    return _words[key]
+
+
+def _measure(docs: DataFrame, lexicons: Sequence[dict[str, float]]) -> DataFrame:
+    """(id, out): each row's features by each lexicon."""
     kind = docs.schema["id"].dataType.simpleString()
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = (score.value.lexicon if score else lexicon)
-        key = hash(frozenset(lex.items()))
-        if key not in _words:
-            _words.clear()
-            _words[key] = _Words(lex)
-        words = _words[key]
+        words = [_of(x) for x in lexicons]
+        for b in batches:
+            x = [[v for w in words for v in features(t.as_py(), w)] for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "out"])
+
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, out array<double>")
+
+
+def _scored(docs: DataFrame, model) -> DataFrame:
+    """(id, score) by a broadcast model."""
+    kind = docs.schema["id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _of(model.value.lexicon)
+        words.most = 1 << 18
         for b in batches:
             x = np.array([features(t.as_py(), words) for t in b.column(1)], float).reshape(-1, len(FEATURES))
-            out = pa.array(score.value.score(x)) if score else pa.array(x.tolist(), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), out], ["id", "out"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.score(x))], ["id", "score"])
 
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, out {'double' if score else 'array<double>'}")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> ToxicModel:
     """Learns from labelled rows that aren't held out: of each class those with the smallest hashes of ids, `sample` at most."""
     known = labels.where("toxic IS NOT NULL").select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out("id"))
     known = known.groupBy("id").agg(F.max("toxic").alias("toxic")).withColumn("h", F.xxhash64(F.lit(3), "id"))
-    some = known.where("toxic = 1").orderBy("h").limit(sample).unionByName(known.where("toxic = 0").orderBy("h").limit(sample))
-    some = docs.sparkSession.createDataFrame([tuple(r) for r in some.collect()], some.schema)
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(some), "id")
-    lexicon = learn_lexicon(rows.select("text", "toxic"))
-    got = _measure(rows, lexicon).join(F.broadcast(some), "id").select("out", "toxic", "h").collect()
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # a row for each class
+    some = []
+    for toxic in (1, 0):
+        rows = known.where((F.col("toxic") == toxic) & hash_share(F.col("h"), sample, sizes.get(toxic, 0)))
+        some += sorted((tuple(r) for r in rows.collect()), key=lambda r: r[2])[:sample]
+    some = docs.sparkSession.createDataFrame(some, known.schema).withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int"))
+    rows = materialize(docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(some), "id"), "toxic-sample")
+    lexicons = learn_lexicons(rows.select("text", "toxic", "fold"))
+    got = _measure(rows, lexicons).join(F.broadcast(some), "id").select("out", "toxic", "h", "fold").collect()
     got.sort(key=lambda r: (r["h"], r["out"]))
-    x = np.array([r["out"] for r in got], float).reshape(-1, len(FEATURES))
-    return ToxicModel(lexicon, x, np.array([r["toxic"] for r in got], float), np.array([r["h"] % 3 == 0 for r in got], bool))
+    x = np.array([r["out"] for r in got], float).reshape(-1, FOLDS + 1, len(FEATURES))
+    return ToxicModel(lexicons[-1], [x[:, k] for k in range(FOLDS + 1)], np.array([r["toxic"] for r in got], float), np.array([r["fold"] for r in got], int))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,5 +250,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, id_col, text_col))
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    out = _measure(rows, {}, model).withColumnRenamed("out", "score")
+    out = _scored(rows, model)
     return out.select(F.col("id").alias(id_col), F.coalesce(held_out("id"), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
