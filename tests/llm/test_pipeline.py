@@ -41,7 +41,14 @@ def brute_sketch(text, shingle=5, seeds=8):
     return out
 
 
-def brute_roots(sketches, most):
+def bits_met(apart, radius=3, pieces=(8, 64)):
+    """Whether two sketches, told by the bits that they differ in, meet in a table."""
+    whole, (n, width) = sum(int(v) << 64 * i for i, v in enumerate(apart)), pieces
+    masks = simhash.covering_masks(radius, width)
+    return any((whole >> k * width) & m == 0 for k in range(n) for m in masks)
+
+
+def brute_roots(sketches, most, met=bits_met):
     """The least index that links lead to, for each sketch."""
     up = list(range(len(sketches)))
 
@@ -50,28 +57,27 @@ def brute_roots(sketches, most):
             i = up[i]
         return i
 
-    x, masks = np.array(sketches, np.uint64), np.array(MASKS, np.uint64)
+    x = np.array(sketches, np.uint64)
     for i in range(len(x)):
         apart = x[i + 1 :] ^ x[i]
-        near = np.bitwise_count(apart).sum(1) <= most
-        for j in np.flatnonzero(near).tolist():
-            if ((apart[j][:, None] & masks) == 0).any():
+        for j in np.flatnonzero(np.bitwise_count(apart).sum(1) <= most).tolist():
+            if met(apart[j]):
                 a, b = sorted((root(i), root(i + 1 + j)))
                 up[b] = a
     return [root(i) for i in range(len(x))]
 
 
-def brute_near(docs, most):
+NEAR = simhash.sketch_limit(simhash.SEEDS, 0.8, simhash.SLACK)
+
+
+def brute_near(docs):
     """Ids that stay of (id, text), where ids are unique."""
-    of, ids = defaultdict(list), defaultdict(list)
+    ids = defaultdict(list)
     for i, text in docs:
-        x = brute_sketch(text)
-        of[x[0]].append([signed(v) for v in x[1:]])
-        ids[x[0]].append(i)
-    nodes = list(of)
+        ids[tuple(brute_sketch(text, seeds=simhash.SEEDS))].append(i)
     groups = defaultdict(list)
-    for fp, r in zip(nodes, brute_roots([[fp, *(v & ALL for v in min(of[fp]))] for fp in nodes], most), strict=True):
-        groups[r] += ids[fp]
+    for x, r in zip(ids, brute_roots(list(ids), NEAR, lambda apart: bits_met(apart, 2, simhash.PIECES)), strict=True):
+        groups[r] += ids[x]
     return {min(g) for g in groups.values()}
 
 
@@ -82,6 +88,7 @@ def altered(rng, text, share):
 def test_limit_is_that_of_the_similarity():
     assert simhash.sketch_limit(8, 0.8) == 77 and simhash.sketch_limit(8, 1) == 0
     assert simhash.sketch_limit(8, 0.9) < simhash.sketch_limit(8, 0.8)
+    assert simhash.sketch_limit(16, 0.8) == 155 and simhash.sketch_limit(16, 0.8, 1) == 166
 
 
 @pytest.mark.parametrize("words", [0, 1, 4, 5, 300, 40000])
@@ -96,11 +103,11 @@ def test_near_copies(spark, documents):  # noqa: F811
     texts = [d[1] for d in documents if 80 < len(d[1].split()) < 1500][:25]
     docs = [(i, t) for i, t in enumerate(t for x in texts for t in (x, *(altered(rng, x, s) for s in (0.002, 0.01, 0.02, 0.03, 0.2))))]
     kept = simhash.drop_near_copies(frame(spark, [(i, t, "en", "a") for i, t in docs]))
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(brute_near(docs, 77))
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(brute_near(docs))
 
 
 def test_large_buckets_of_sketches(spark):
-    """Many sketches share a fingerprint, or nearly: more than a bucket holds."""
+    """Many sketches share a fingerprint, or nearly: more than a bucket holds. Those that share no more aren't linked, as in small buckets."""
     rng = random.Random(3)
     near = [rng.getrandbits(64) for _ in range(8)]
     sketches = [[v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(3))) for v in near] for _ in range(60)]
@@ -109,8 +116,45 @@ def test_large_buckets_of_sketches(spark):
     table = spark.createDataFrame([(signed(x[0]), [signed(v) for v in x]) for x in sketches], "node long, sketch array<long>")
     least = {r["a"]: r["b"] for r in components(simhash.near_links(None, bucket=16, sketches=table, most=77)).collect()}
     got = [least.get(signed(x[0]), signed(x[0])) for x in sketches]
-    assert len(set(got[:60])) == len(set(got[60:120])) == 1 and len(set(got)) == 42
-    assert {i for i in got[120:]} == {signed(x[0]) for x in sketches[120:]}
+    assert len(set(got[:60])) == 1 and len(set(got)) == 101
+    assert {i for i in got[60:]} == {signed(x[0]) for x in sketches[60:]}
+
+
+def test_places_are_those_of_the_pieces(spark):
+    rng = random.Random(8)
+    a = [rng.getrandbits(64) for _ in range(16)]
+    whole = sum(v << 64 * i for i, v in enumerate(a)) ^ sum(1 << (42 * k + b) for k in range(24) for b in rng.sample(range(42), 3 if k != 11 else 2))
+    b = [whole >> 64 * i & ALL for i in range(16)]
+    c = [v ^ rng.getrandbits(64) for v in a]
+    table = spark.createDataFrame([(k, [signed(v) for v in x]) for k, x in enumerate((a, b, c))], "node long, sketch array<long>")
+    places = {r["node"]: r["p"] for r in table.select("node", simhash.table_places(table["sketch"], (24, 42), 2).alias("p")).collect()}
+    assert all(len(set(p)) == 168 for p in places.values())
+    met = lambda x, y: bits_met([u ^ v for u, v in zip(x, y, strict=True)], 2, (24, 42))
+    assert met(a, b) and (set(places[0]) & set(places[1])) and bool(set(places[0]) & set(places[2])) == met(a, c)
+
+
+def test_a_repeated_id_keeps_its_other_text(spark):
+    rng = random.Random(12)
+    a, b = (" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(2))
+    kept = simhash.drop_near_copies(frame(spark, [(1, a, "en", "x"), (5, a + " more", "en", "x"), (5, b, "en", "x"), (None, a, "en", "x")]))
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(1, a), (5, b), (None, a)])
+
+
+def test_near_copies_just_above_the_similarity_are_found(spark):
+    """Nine of ten pairs with a similarity of 0.8 to 0.85, and more above."""
+    rng, docs, alike = random.Random(21), [], {}
+    for k in range(150):
+        words = [f"w{rng.randrange(20000)}" for _ in range(600)]
+        other = list(words)
+        for at in rng.sample(range(0, 600, 5), 12 if k < 100 else 9):
+            other[at] = f"x{rng.randrange(10**6)}"
+        x, y = ({tuple(w[i : i + 5]) for i in range(596)} for w in (words, other))
+        alike[k] = len(x & y) / len(x | y)
+        docs += [(2 * k, " ".join(words), "en", "a"), (2 * k + 1, " ".join(other), "en", "a")]
+    kept = {r["doc_id"] for r in simhash.drop_near_copies(frame(spark, docs)).collect()}
+    low, high = ([k for k in alike if a <= alike[k] < b] for a, b in ((0.8, 0.85), (0.85, 0.9)))
+    assert len(low) > 60 and len(high) > 30 and {2 * k for k in alike} <= kept
+    assert sum(2 * k + 1 not in kept for k in low) >= 0.9 * len(low) and sum(2 * k + 1 not in kept for k in high) >= 0.97 * len(high)
 
 
 def test_stages(spark, sf_dir, documents):  # noqa: F811
@@ -130,7 +174,7 @@ def test_stages(spark, sf_dir, documents):  # noqa: F811
 
     apart = step("near dedup", single)
     kept = apart.collect()
-    assert apart.columns == docs.columns and Counter(r["doc_id"] for r in kept) == Counter(brute_near([(r["doc_id"], r["text"]) for r in single.collect()], 77))
+    assert apart.columns == docs.columns and Counter(r["doc_id"] for r in kept) == Counter(brute_near([(r["doc_id"], r["text"]) for r in single.collect()]))
 
     mixed = step("mix sources", apart)
     size = {r["doc_id"]: len(WORD.findall(r["text"])) for r in kept}
