@@ -252,3 +252,15 @@ def test_shared_folder(spark, monkeypatch):
 def test_documents_of_no_rows(spark):
     empty = spark.createDataFrame([], "doc_pos long, " + ", ".join(f"`{c}` string" for c in io.PRODUCT_COLUMNS))
     assert SearchEngine(spark, build_documents(empty)).search("oil").count() == 0
+
+
+def test_entities(spark):
+    import html
+
+    from weftline.functions import text as X
+
+    texts = ["a &amp;amp; b &lt;b&gt; &copy;&nbsp;&eacute; &#233;&#xE9;&#x1F642; & AT&T &unknown; &amp", "&#0;&#55296;&#99999999;", "", None, "no ampersand", "&quot;&apos;&#39;&hellip;&"]
+    got = [r["t"] for r in spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, x string").select("k", X.unescape(F.col("x")).alias("t")).orderBy("k").collect()]
+    for k in (2, 3, 4, 5):
+        assert got[k] == (html.unescape(texts[k]) if texts[k] else texts[k])
+    assert got[0] == html.unescape(texts[0][:-4]) + "&amp" and got[1] == "��&#99999999;"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ SUFFIXES = ("ingly", "edly", "ing", "ed", "ly", "es", "s", "ment")
 # Units that suggestions leave out.
 SUGGESTION_SKIP = ("ml", "gm", "g", "kg", "le")
 
-#: Named characters that are unescaped, the ampersand last so that nothing is unescaped twice.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+#: Named characters of HTML; the names themselves come with Python.
+ENTITIES = {**{name: chr(code) for name, code in name2codepoint.items()}, "apos": "'"}
 
 
 def collapse(x: Column) -> Column:
@@ -36,8 +37,25 @@ def collapse(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"(?U)\s+", " "))
 
 
+def _character(name: Column) -> Column:
+    """What an entity's name or number stands for, else null. Numbers that are no character stand for U+FFFD, as 0 does."""
+    digits = F.regexp_extract(name, "^#([0-9]{1,7})$", 1)
+    hexes = F.regexp_extract(name, "^#[xX]([0-9a-fA-F]{1,6})$", 1)
+    code = F.when(digits != "", digits.try_cast("int")).when(hexes != "", F.conv(hexes, 16, 10).try_cast("int"))
+    known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+    made = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    return F.when(code.isNotNull(), made).otherwise(F.try_element_at(F.create_map(*[F.lit(x) for e in ENTITIES.items() for x in e]), name))
+
+
 def unescape(x: Column) -> Column:
-    return reduce(lambda y, e: F.replace(y, F.lit(e[0]), F.lit(e[1])), ENTITIES, x)
+    """Entities with a semicolon as characters, each once; other ampersands stay. Texts without an ampersand aren't looked at."""
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, "^&(#?[0-9a-zA-Z]+);", 1)
+        c = F.when(name != "", _character(name))
+        return F.when(c.isNull(), p).otherwise(F.concat(c, F.substring(p, F.length(name) + 3, F.length(p))))
+
+    return F.when(F.contains(x, F.lit("&")), F.array_join(F.transform(F.split(x, "(?=&)"), piece), "")).otherwise(x)
 
 
 def clean_text(x: Column) -> Column:
