@@ -127,7 +127,9 @@ def test_places_are_those_of_the_pieces(spark):
     b = [whole >> 64 * i & ALL for i in range(16)]
     c = [v ^ rng.getrandbits(64) for v in a]
     table = spark.createDataFrame([(k, [signed(v) for v in x]) for k, x in enumerate((a, b, c))], "node long, sketch array<long>")
-    places = {r["node"]: r["p"] for r in table.select("node", simhash.table_places(table["sketch"], (24, 42), 2).alias("p")).collect()}
+    places = defaultdict(list)
+    for r in simhash.dealt(table, (24, 42), 2).collect():
+        places[r["node"]].append(r["place"])
     assert all(len(set(p)) == 168 for p in places.values())
     met = lambda x, y: bits_met([u ^ v for u, v in zip(x, y, strict=True)], 2, (24, 42))
     assert met(a, b) and (set(places[0]) & set(places[1])) and bool(set(places[0]) & set(places[2])) == met(a, c)

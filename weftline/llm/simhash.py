@@ -124,11 +124,13 @@ def piece(sketch: Column, at: int, width: int) -> Column:
     return out.bitwiseAND(F.lit(_signed((1 << width) - 1)))
 
 
-def table_places(sketch: Column, pieces: tuple[int, int], radius: int) -> Column:
-    """An array with the sketch's place in each table: a hash of piece, mask and the bits that the mask keeps. Places that are equal by chance cost comparisons, no more."""
+def dealt(sketches: DataFrame, pieces: tuple[int, int], radius: int) -> DataFrame:
+    """(node, place): each sketch's place in each table, a hash of piece, mask and the bits that the mask keeps. Places that are equal by chance cost comparisons, no more."""
     n, width = pieces
-    masks = [F.lit(_signed(m)) for m in covering_masks(radius, width)]
-    return F.array(*[F.xxhash64(F.lit(k * len(masks) + j), piece(sketch, k * width, width).bitwiseAND(m)) for k in range(n) for j, m in enumerate(masks)])
+    cut = F.array(*[piece(F.col("sketch"), k * width, width) for k in range(n)])
+    masks = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius, width)])
+    each = sketches.select("node", F.posexplode(cut).alias("k", "bits")).select("node", "k", "bits", F.explode(masks).alias("mask"))
+    return each.select("node", F.xxhash64("k", "mask", F.col("bits").bitwiseAND(F.col("mask"))).alias("place"))
 
 
 def forest(nodes: np.ndarray, sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -160,9 +162,9 @@ def near_sketches(sketches: DataFrame, most: int, radius: int, pieces: tuple[int
                 got += forest(rows[:, 0], np.ascontiguousarray(rows[:, 1:]), most)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
 
-    dealt = sketches.select("node", F.explode(table_places(F.col("sketch"), pieces, radius)).alias("place"))
-    shared = dealt.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(dealt.join(shared, "place"), "buckets")
+    places = dealt(sketches, pieces, radius)
+    shared = places.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(places.join(shared, "place"), "buckets")
     # two parts together are about as large as a bucket; one bucket's part meets all of its parts
     parts = F.ceil(F.col("n") * 2 / bucket)
     own, other = F.pmod(F.xxhash64("node"), parts), F.explode(F.sequence(F.lit(0), parts - 1))
