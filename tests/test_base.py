@@ -264,3 +264,13 @@ def test_entities(spark):
     for k in (2, 3, 4, 5):
         assert got[k] == (html.unescape(texts[k]) if texts[k] else texts[k])
     assert got[0] == html.unescape(texts[0][:-4]) + "&amp" and got[1] == "��&#99999999;"
+
+
+def test_porter(spark):
+    from weftline.functions.porter import porter, stem_word
+
+    pairs = "caresses caress ponies poni ties tie agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl hopping hop falling fall filing file happy happi sky sky enjoy enjoy relational relat valenci valenc digitizer digit formality formal triplicate triplic hopeful hope allowance allow replacement replac adoption adopt bowdlerize bowdler probate probat rate rate controller control roll roll generalizations gener oscillators oscil dying die"
+    words = pairs.split()
+    assert [stem_word(w) for w in words[::2]] == words[1::2]
+    got = spark.createDataFrame([("Ponies",), (None,), ("",)], "w string").select(porter(F.col("w")).alias("s")).collect()
+    assert [r["s"] for r in got] == ["poni", None, ""]
