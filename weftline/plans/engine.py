@@ -49,7 +49,7 @@ class SearchEngine:
 
     def __init__(self, spark: SparkSession, docs: DataFrame):
         self.spark, self.docs = spark, docs.cache()
-        self.index = S.SearchIndex(self.docs).write()
+        self.index = S.SearchIndex(self.docs)
         self.weights = suggestion_weights(self.docs).cache()
 
     def _one(self, query: str) -> DataFrame:

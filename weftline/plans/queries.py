@@ -12,6 +12,7 @@ from weftline.functions import text as X
 from weftline.functions.order import numbered
 from weftline.operators import ingest, people, search, social, suggest
 from weftline.operators.documents import build_documents
+from weftline.plans.engine import SearchEngine
 from weftline.sources import io, sinks
 from weftline.sources.tables import read_table, spread
 
@@ -360,6 +361,21 @@ def sr22_suggest(spark, d):
     return suggest.suggest(asked, suggest.suggestion_weights(part_documents(spark, d))).withColumn("rank", F.col("rank").cast("long"))
 
 
+# the engine's surface
+
+@query(_INDEX + "SELECT 'ok' AS status, (SELECT n FROM n) AS documents, count(*) AS vocabulary_terms FROM idf")
+def ap01_health(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc_pos"), F.col("text").alias("content"), *[F.lit("").alias(c) for c in ("title", "features", "type")])
+    return SearchEngine(spark, docs).health()
+
+
+@query(_PARTS + _SUGGEST + """SELECT phrase AS suggestion FROM sw WHERE starts_with(phrase, 'gr') OR contains(phrase, 'gr')
+ORDER BY weight * 10.0::DOUBLE + CASE WHEN starts_with(phrase, 'gr') THEN 1000 WHEN contains(phrase, ' gr') THEN 700 ELSE 200 END - length(phrase) * 0.25::DOUBLE DESC, length(phrase), phrase LIMIT 12""")
+def ap03_suggest(spark, d):
+    """The most that can be asked for."""
+    return SearchEngine(spark, part_documents(spark, d)).suggest(" GR ", 50)
+
+
 # posts from events
 
 def _posts(spark, d) -> DataFrame:
