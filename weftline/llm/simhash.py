@@ -162,9 +162,10 @@ def near_sketches(sketches: DataFrame, most: int, radius: int, pieces: tuple[int
                 got += forest(rows[:, 0], np.ascontiguousarray(rows[:, 1:]), most)
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["a", "b"])
 
-    places = dealt(sketches, pieces, radius)
-    shared = places.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
-    members = materialize(places.join(shared, "place"), "buckets")
+    # nearly all places are of one node, so they are counted where they arrive; asking for nodes makes both sides of the join one exchange
+    places = dealt(sketches, pieces, radius).repartition("place")
+    shared = places.groupBy("place").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
+    members = materialize(places.join(shared.select("place", "n"), "place"), "buckets")
     # two parts together are about as large as a bucket; one bucket's part meets all of its parts
     parts = F.ceil(F.col("n") * 2 / bucket)
     own, other = F.pmod(F.xxhash64("node"), parts), F.explode(F.sequence(F.lit(0), parts - 1))
