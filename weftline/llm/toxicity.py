@@ -36,38 +36,70 @@ FEATURES = ("log_words", "hit_rate", "log_hits", "kinds", "strongest", "near_sec
 
 def plain(word: str) -> str:
     """A word in lower case, look-alike characters as letters, without what isn't a letter."""
-    return re.sub(r"[^\w]|[\d_]", "", word.lower().translate(LOOKALIKES) if any(c.isalpha() for c in word) else word)
+    low = word.lower()
+    if low.isalpha():
+        return low
+    return re.sub(r"[^\w]|[\d_]", "", low.translate(LOOKALIKES) if any(c.isalpha() for c in word) else word)
 
 
 class _Words(dict):
-    """For each word of a text: its weight in the lexicon, and whether it is obfuscated or of the second person."""
+    """Places of words in arrays: their weight by each lexicon, their plain form, and whether they are obfuscated or of the second person."""
 
-    def __init__(self, lexicon: dict[str, float], most: int = 1 << 18):
+    def __init__(self, lexicons: Sequence[dict[str, float]], most: int = 1 << 18):
         super().__init__()
-        self.lexicon, self.most = lexicon, most
-
-    def __missing__(self, word: str) -> tuple[float, bool, bool]:
+        self.lexicons, self.most = lexicons, most
+        self.room(1 << 12)
+
+    def room(self, n: int) -> None:
+        """Arrays for n words, empty."""
+        self.clear()
+        self.plain_of: dict[str, int] = {}
+        self.weight, self.plain = np.zeros((len(self.lexicons), n)), np.zeros(n, np.int64)
+        self.odd, self.second = np.zeros(n, bool), np.zeros(n, bool)
+
+    def __missing__(self, word: str) -> int:
+        at = len(self)
+        if at >= len(self.plain):
+            self.weight = np.concatenate([self.weight, np.zeros_like(self.weight)], 1)
+            self.plain, self.odd, self.second = (np.concatenate([x, np.zeros_like(x)]) for x in (self.plain, self.odd, self.second))
         p = plain(word)
-        weight = max([self.lexicon.get(f"={p}", 0.0), *(self.lexicon.get(f"{n}{p[:n]}", 0.0) for n in STARTS if len(p) >= n)])
-        inner = word.strip("!?.,;:\"'()[]{}#*$%&|<>-_")
-        out = weight, bool(inner) and any(c.isalpha() for c in inner) and any(not c.isalpha() and c not in "'’-" for c in inner), p in SECOND_PERSON
-        if len(self) < self.most:
-            self[word] = out
-        return out
-
-
-def features(text: str, words: _Words) -> list[float]:
+        ends = [f"={p}", *(f"{n}{p[:n]}" for n in STARTS if len(p) >= n)]
+        for k, lexicon in enumerate(self.lexicons):
+            weight = max([lexicon.get(x, 0.0) for x in ends])
+            if weight:
+                self.weight[k, at] = weight
+        if not word.isalpha():
+            inner = word.strip("!?.,;:\"'()[]{}#*$%&|<>-_")
+            self.odd[at] = not inner.isalpha() and any(c.isalpha() for c in inner) and any(not c.isalpha() and c not in "'’-" for c in inner)
+        self.second[at] = p in SECOND_PERSON
+        self.plain[at] = self.plain_of.setdefault(p, len(self.plain_of))
+        self[word] = at
+        return at
+
+
+def features(text: str, words: _Words) -> np.ndarray:
+    """A row of features for each lexicon."""
+    if len(words) > words.most:
+        words.room(1 << 12)  # what has been met is worked out anew
     tokens = text.split()
-    got = [words[t] for t in tokens]
-    hits = [(i, w) for i, (w, _, _) in enumerate(got) if w]
-    second = [i for i, x in enumerate(got) if x[2]]
-    near = 0
-    if hits and second:
-        at = np.searchsorted(second, [i for i, _ in hits])
-        near = sum(min(abs(i - second[k]) for k in (max(0, a - 1), min(a, len(second) - 1))) <= 5 for (i, _), a in zip(hits, at, strict=True))
+    at = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
     n, chars = max(1, len(tokens)), max(1, len(text))
     kinds = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
-    return [math.log1p(len(tokens)), len(hits) / n, math.log1p(len(hits)), len({plain(tokens[i]) for i, _ in hits}), max([w for _, w in hits], default=0.0), near, kinds[65:91].sum() / chars, (kinds[33:48].sum() + kinds[58:65].sum()) / chars, kinds[33] / chars, sum(x[1] for x in got) / n]
+    rest = (kinds[65:91].sum() / chars, (kinds[33:48].sum() + kinds[58:65].sum()) / chars, kinds[33] / chars, words.odd[at].sum() / n)
+    second, out = np.flatnonzero(words.second[at]), np.zeros((len(words.lexicons), len(FEATURES)))
+    out[:, 0], out[:, 6:] = math.log1p(len(tokens)), rest
+    for k, weights in enumerate(words.weight):
+        w = weights[at]
+        hits = np.flatnonzero(w)
+        if not len(hits):
+            continue
+        near = 0
+        if len(second):
+            a = np.searchsorted(second, hits)
+            away = np.minimum(np.abs(hits - second[np.maximum(a - 1, 0)]), np.abs(hits - second[np.minimum(a, len(second) - 1)]))
+            near = int((away <= 5).sum())
+        out[k, 1:6] = len(hits) / n, math.log1p(len(hits)), len(np.unique(words.plain[at[hits]])), w.max(), near
+    return out
 
 
 def learn_lexicons(rows: DataFrame, most: int = LEXICON) -> list[dict[str, float]]:
@@ -184,26 +216,24 @@ def held_out(id_col: str, folds: int = 5, of: int = 0):
 _words: dict[int, _Words] = {}
 
 
-def _of(lexicon: dict[str, float]) -> _Words:
-    """A lexicon's words as this Python worker has met them."""
-    key = hash(frozenset(lexicon.items()))
+def _of(lexicons: Sequence[dict[str, float]]) -> _Words:
+    """The words that this Python worker has met, by the lexicons of its last task."""
+    key = hash(tuple(frozenset(x.items()) for x in lexicons))
     if key not in _words:
-        if len(_words) > FOLDS:
-            _words.clear()
-        _words[key] = _Words(lexicon, (1 << 18) // (FOLDS + 1))
+        _words.clear()
+        _words[key] = _Words(lexicons)
     return _words[key]
 
 
 def _measure(docs: DataFrame, lexicons: Sequence[dict[str, float]]) -> DataFrame:
-    """(id, out): each row's features by each lexicon."""
+    """(id, out): each row's features by each lexicon, one after the other."""
     kind = docs.schema["id"].dataType.simpleString()
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = [_of(x) for x in lexicons]
+        words = _of(lexicons)
         for b in batches:
-            x = [[v for w in words for v in features(t.as_py(), w)] for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], ["id", "out"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t.as_py(), words).ravel() for t in b.column(1)], pa.list_(pa.float64()))], ["id", "out"])
 
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, out array<double>")
 
@@ -214,10 +244,9 @@ def _scored(docs: DataFrame, model) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _of(model.value.lexicon)
-        words.most = 1 << 18
+        words = _of([model.value.lexicon])
         for b in batches:
-            x = np.array([features(t.as_py(), words) for t in b.column(1)], float).reshape(-1, len(FEATURES))
+            x = np.array([features(t.as_py(), words)[0] for t in b.column(1)], float).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.value.score(x))], ["id", "score"])
 
     return docs.select("id", "text").mapInArrow(run, f"id {kind}, score double")
