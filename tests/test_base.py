@@ -227,10 +227,13 @@ def test_streams(spark, tmp_path):
     events = [(1, 1, "Oil", "u1", "1", "", "", False, ["a"]), (1, 2, "Other", "u2", "2", "d", "5", False, ["b (2)"])]
     shape = "key long, at long, name string, url string, price string, description string, stock string, sold_out boolean, features array<string>"
     write = merge.merge_into(str(tmp_path / "events"))
-    for n, e in ((0, events[:1]), (1, events[1:]), (1, events[1:])):
+    for n, e in ((0, events[:1]), (1, events[1:]), (1, events[1:]), (2, [(2, 9, "New", "", "", "", "", True, [])])):
         write(spark.createDataFrame(e, shape), n)
-    row = merge.merged(spark, str(tmp_path / "events"), "key", "at").first()
-    assert (row["name"], row["price"], row["stock"], row["features"]) == ("Oil", "2", "5", ["a", "b"])
+    got = {r["key"]: (r["name"], r["price"], r["stock"], r["features"]) for r in merge.merged(spark, str(tmp_path / "events")).collect()}
+    assert got == {1: ("Oil", "2", "5", ["a", "b"]), 2: ("New", "", "0", [])}
+    whole = ingest.merge_events(spark.createDataFrame([*events, (2, 9, "New", "", "", "", "", True, [])], shape), "key", "at")
+    assert {tuple(r) for r in whole.select("key", "name", "url", "price", "description", "stock", "position", "type").collect()} == {tuple(r) for r in merge.merged(spark, str(tmp_path / "events")).select("key", "name", "url", "price", "description", "stock", "position", "type").collect()}
+    assert sorted(p.name for p in (tmp_path / "events").iterdir()) == ["state=1", "state=2"]
 
 
 def test_shared_folder(spark, monkeypatch):

@@ -9,21 +9,34 @@ from weftline.functions.catalog import UNKNOWN_STOCK, clean_feature, first_fille
 from weftline.functions.text import clean_plain, collapse
 
 
+def event_state(events: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, name, url, price, description, stock, features, position): what each event (name, url, price, description, stock, sold_out, features array) says, with its place in order."""
+    clean = lambda c: F.nullif(clean_plain(F.col(c)), F.lit(""))
+    e = events.select(F.col(key).alias("key"), F.col(order).alias("position"), *[clean(c).alias(c) for c in ("name", "url", "price", "description", "stock")], "sold_out", F.filter(F.transform("features", clean_feature), lambda x: x != "").alias("features"))
+    e = e.where("name IS NOT NULL").withColumn("stock", F.coalesce("stock", F.when(F.col("sold_out"), "0")))
+    return e.select("key", *[F.when(F.col(c).isNotNull(), F.struct(F.col("position").alias("at"), F.col(c).alias("value"))).alias(c) for c in ("name", "url", "price", "description", "stock")], "features", "position")
+
+
+def combine_states(states: DataFrame) -> DataFrame:
+    """One state for each key. One aggregation that combines before the shuffle, as every part is the least or the greatest by order; states of states are the same."""
+    features = F.array_sort(F.array_distinct(F.flatten(F.collect_set("features")))).alias("features")
+    return states.groupBy("key").agg(*[F.min(c).alias(c) for c in ("name", "url")], *[F.max(c).alias(c) for c in ("price", "description", "stock")], features, F.min("position").alias("position"))
+
+
+def records(state: DataFrame) -> DataFrame:
+    """The records that states tell of."""
+    or_empty = lambda c, other="": F.coalesce(F.col(c)["value"], F.lit(other)).alias(c)
+    out = state.select("key", F.col("name")["value"].alias("name"), or_empty("url"), or_empty("price"), or_empty("description"), or_empty("stock", UNKNOWN_STOCK), "features", "position")
+    return out.withColumn("type", product_type(F.col("name")))
+
+
 def merge_events(events: DataFrame, key: str, order: str) -> DataFrame:
     """One record for each key of events (name, url, price, description, stock, sold_out, features array).
 
     First non-empty name and url, last non-empty price and description, the last stock
-    that an event knows (sold out is 0), all features. One aggregation that combines
-    before the shuffle: every part is the least or the greatest by order.
+    that an event knows (sold out is 0), all features.
     """
-    clean = lambda c: F.nullif(clean_plain(F.col(c)), F.lit(""))
-    e = events.select(F.col(key).alias("key"), F.col(order).alias("at"), *[clean(c).alias(c) for c in ("name", "url", "price", "description", "stock")], "sold_out", F.filter(F.transform("features", clean_feature), lambda x: x != "").alias("features"))
-    known = F.coalesce("stock", F.when(F.col("sold_out"), "0"))
-    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("at")))
-    last = lambda c: F.coalesce(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))), F.lit(""))
-    e = e.where("name IS NOT NULL").withColumn("known", known)
-    out = e.groupBy("key").agg(first("name").alias("name"), F.coalesce(first("url"), F.lit("")).alias("url"), last("price").alias("price"), last("description").alias("description"), F.coalesce(F.max_by("known", F.when(F.col("known").isNotNull(), F.col("at"))), F.lit(UNKNOWN_STOCK)).alias("stock"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("features")))).alias("features"), F.min("at").alias("position"))
-    return out.withColumn("type", product_type(F.col("name")))
+    return records(combine_states(event_state(events, key, order)))
 
 
 def match_records(incoming: DataFrame, records: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators.ingest import merge_events
+from weftline.operators.ingest import combine_states, event_state, records
 
 
 def weekly_stream(posts: DataFrame, late: str = "7 days") -> DataFrame:
@@ -19,14 +19,40 @@ def first_visits(urls: DataFrame, late: str = "1 day") -> DataFrame:
     return urls.withWatermark("seen_at", late).dropDuplicatesWithinWatermark(["url"])
 
 
-def merge_into(path: str):
-    """For foreachBatch: appends the batch's events as its own folder, so that a batch that runs twice is written once; read with merged()."""
+def _folder(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the states that are written whole, in order."""
+    at, files = _folder(spark, path)
+    if not files.exists(at):
+        return []
+    done = [f.getPath() for f in files.listStatus(at) if files.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted(int(p.getName().removeprefix("state=")) for p in done)
+
+
+def merge_into(path: str, key: str = "key", order: str = "at"):
+    """For foreachBatch: keeps one state for each key of product events. A batch reads the state before it, not the events before it.
+
+    A batch that runs again writes the same state again, from the one before it. The last
+    two states stay.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark = batch.sparkSession
+        states, before = event_state(batch, key, order), [v for v in _versions(spark, path) if v < number]
+        if before:
+            states = states.unionByName(spark.read.parquet(f"{path}/state={before[-1]}"))
+        combine_states(states).write.mode("overwrite").parquet(f"{path}/state={number}")
+        for old in before[:-1]:
+            at, files = _folder(spark, f"{path}/state={old}")
+            files.delete(at, True)
 
     return write
 
 
-def merged(spark, path: str, key: str = "key", order: str = "at") -> DataFrame:
-    return merge_events(spark.read.parquet(path), key, order)
+def merged(spark: SparkSession, path: str) -> DataFrame:
+    """The records of all batches so far."""
+    return records(spark.read.parquet(f"{path}/state={_versions(spark, path)[-1]}"))
