@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from weftline.llm import bytepairs, chunk_store, common, exact, language, mixing, quality, queries, token_counts, toxicity, urls
 
-from .test_operators import ODD, documents, frame  # noqa: F401
+from .test_operators import ODD, frame
 
 
 def test_section_tokens_of_odd_rows(spark):

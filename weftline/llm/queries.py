@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from weftline.llm import chunk_store, exact, language, mixing, pieces, quality, simhash, token_counts, toxicity, urls
 from weftline.llm.common import shared_dir, table
