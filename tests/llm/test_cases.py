@@ -149,6 +149,40 @@ def test_threshold_is_the_best_of_all_places():
         assert math.isclose(gain(got), max(map(gain, allowed)), abs_tol=1e-9)
 
 
+def test_forest_and_threshold_are_fitted_on_all_labelled_rows(spark):
+    """9,000 good rows and 8,500 bad ones, some labelled both: trees draw from all good rows, and all set the threshold, good ones by trees that didn't draw them."""
+    rng = np.random.default_rng(5)
+    n, both, n_bad = 9000, 100, 8500
+    x = np.abs(rng.normal(size=(n + n_bad - both, len(quality.RATES)))) / 20
+    x[n:] += 0.08
+    x[:, 0] += 5
+    stats = spark.createDataFrame([(i, False, r) for i, r in enumerate(x.tolist())] + [(10**6, True, x[0].tolist())], "id long, base_failed boolean, rates array<double>")
+    marks = [(i, 1) for i in range(n)] + [(i, 0) for i in range(n - both, len(x))] + [(10**6, 1), (None, 1), (10**7, 0)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    h = F.xxhash64(F.lit(7), "id")
+    places = np.array(stats.where("NOT base_failed").orderBy("id").select(*(F.xxhash64(F.lit(t), h).alias(f"t{t}") for t in range(100))).toPandas())
+    drawn = [np.argsort(places[:n, t])[:256] for t in range(100)]
+    forest = quality.IsolationForest(x[:0], drawn=[quality.features(x[d]) for d in drawn])
+    seen = np.zeros((len(x), 100), bool)
+    for t, d in enumerate(drawn):
+        seen[d, t] = True
+    score = forest.score(quality.features(x), seen)
+    for marked, bad in ((labels, score[n - both :]), (labels.where("quality = 1"), score[:0])):
+        got, at = quality.fit(stats, marked)
+        assert np.array_equal(got.score(quality.features(x)), forest.score(quality.features(x)))
+        assert math.isclose(at, quality.threshold(score[:n], bad, 0.99), rel_tol=1e-12)
+
+
+def test_best_place_is_the_threshold_of_arrays(spark):
+    rng = random.Random(9)
+    for k, share in enumerate((0.5, 0.9, 0.99, 0.9)):
+        good, bad = ([round(rng.gauss(m, 0.2), 2) for _ in range(rng.randrange(1, 60))] for m in (0.4, 0.6))
+        bad = bad if k < 3 else []
+        rows = [(s, True, False) for s in good] + [(s, False, True) for s in bad]
+        got = quality.best_place(spark.createDataFrame(rows, "score double, good boolean, bad boolean"), share)
+        assert math.isclose(got, quality.threshold(np.array(good), np.array(bad), share), rel_tol=1e-12)
+
+
 def test_isotonic_is_the_nearest_rising_function():
     rng = np.random.default_rng(7)
     for _ in range(30):

@@ -1,11 +1,13 @@
 """Operator 7: quality rules, and an isolation forest over their statistics.
 
 The rules count words, symbols, repeated lines and repeated windows of three words.
-The forest is grown from a bounded sample of rows labelled good; its trees split a
-random statistic at a random place, and documents that few splits set apart from
-good ones are anomalous. The threshold is where the scores of a second sample of good
-labelled rows and of rows labelled bad part best, with at least the given share of the
-good ones below it.
+The forest is grown from the rows labelled good; its trees split a random statistic at a
+random place, and documents that few splits set apart from good ones are anomalous. As
+isolation forests are defined, each tree has a few rows of its own, drawn from all of
+them. The threshold is where the scores of all rows labelled good and of all rows labelled
+bad part best, with at least the given share of the good ones below it; a good row is
+scored for it by the trees that weren't grown from it. The driver has
+no more than the trees' rows.
 """
 
 from __future__ import annotations
@@ -16,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fresh, hash_share, materialize, small_batches, text_or_empty
+from weftline.llm.common import fresh, hash_share, materialize, shuffle_parts, small_batches, text_or_empty
 
 #: Documents of fewer words fail, and those where more than this percentage of words is in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
@@ -27,8 +29,8 @@ SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RATES = ("chars_per_word", "symbols_per_char", "dup_line_share", "repeat_share", "capital_share", "mark_share", "digit_share")
-#: Rows of each label that the forest and its threshold are fitted on, at most.
-SAMPLE = 8000
+#: Trees, and the rows that each draws from all good ones; the method's own figures.
+TREES, TREE_ROWS = 100, 256
 #: How far beyond the values of its rows a split can be, at least, so that what good rows never have can be split off.
 ROOM = 0.2
 
@@ -86,13 +88,18 @@ def features(rates: list[list[float]]) -> np.ndarray:
 
 
 class IsolationForest:
-    """Trees over random splits; score() is near 1 for what they isolate early."""
+    """Trees over random splits; score() is near 1 for what they isolate early.
 
-    def __init__(self, rows: np.ndarray, trees: int = 100, sample: int = 256, seed: int = 7):
+    Each tree draws `sample` of the rows; drawn has the rows of each tree where that is done already.
+    """
+
+    def __init__(self, rows: np.ndarray, trees: int = TREES, sample: int = TREE_ROWS, seed: int = 7, drawn: list[np.ndarray] | None = None):
         rng = np.random.default_rng(seed)
-        self.size = min(sample, len(rows))
+        self.size = min(sample, len(rows)) if drawn is None else max(map(len, drawn), default=0)
         self.depth = max(1, math.ceil(math.log2(max(2, self.size))))
-        self.trees = [self._grow(rows[rng.choice(len(rows), self.size, replace=False)], rng) for _ in range(trees)] if len(rows) else []
+        if drawn is None:
+            drawn = (rows[rng.choice(len(rows), self.size, replace=False)] for _ in range(trees if len(rows) else 0))
+        self.trees = [self._grow(part, rng) for part in drawn]
 
     def _grow(self, rows: np.ndarray, rng) -> tuple[np.ndarray, ...]:
         """Arrays by node: the statistic (-1: a leaf), its place, the first of two children, the path length of a leaf."""
@@ -124,11 +131,13 @@ class IsolationForest:
                     what[c], length[c] = -1, depth + 1
         return np.array(what), np.array(at, float), np.array(child), np.array(length, float)
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
+    def score(self, rows: np.ndarray, seen: np.ndarray | None = None) -> np.ndarray:
+        """seen (rows by trees): which trees are left out for a row, unless all would be."""
         if not self.trees or not len(rows):
             return np.zeros(len(rows))
+        use = np.ones((len(rows), len(self.trees)), bool) if seen is None else ~seen | seen.all(1, keepdims=True)
         total = np.zeros(len(rows))
-        for what, at, child, length in self.trees:
+        for tree, (what, at, child, length) in enumerate(self.trees):
             node = np.zeros(len(rows), int)
             for _ in range(self.depth):
                 k = what[node]
@@ -137,8 +146,8 @@ class IsolationForest:
                     break
                 right = rows[np.arange(len(rows)), np.maximum(k, 0)] >= at[node]
                 node = np.where(inner, child[node] + right, node)
-            total += length[node]
-        return 2.0 ** (-total / len(self.trees) / max(expected_path(self.size), 1e-9))
+            total += length[node] * use[:, tree]
+        return 2.0 ** (-total / use.sum(1) / max(expected_path(self.size), 1e-9))
 
 
 def expected_path(n: int) -> float:
@@ -147,7 +156,7 @@ def expected_path(n: int) -> float:
 
 
 def threshold(good: np.ndarray, bad: np.ndarray, keep_share: float) -> float:
-    """The score, midway between two, where most of bad less the share of good is above, with keep_share of good at or below it at least; without bad, the quantile of good."""
+    """The score, midway between two, where most of bad less the share of good is above, with keep_share of good at or below it at least; without bad, the quantile of good. The rule of best_place(), for arrays."""
     if not len(bad):
         return float(np.quantile(good, keep_share))
     at = np.unique(np.concatenate([good, bad]))
@@ -158,24 +167,65 @@ def threshold(good: np.ndarray, bad: np.ndarray, keep_share: float) -> float:
     return float(at[np.flatnonzero(gain == gain.max())[-1]])
 
 
-def fit(stats: DataFrame, labels: DataFrame, keep_share: float = 0.99, sample: int = SAMPLE, seed: int = 7) -> tuple[IsolationForest, float]:
-    """A forest from good labelled rows that pass the base rules, and its threshold; 1.0, which rejects nothing, where no row is good.
-
-    labels: (doc_id, quality), 1 for good and 0 for bad. The samples of at most `sample`
-    rows of each are those with the smallest hashes of ids; half of the good ones grows
-    trees, half sets the threshold with the bad ones.
+def best_place(scored: DataFrame, keep_share: float) -> float:
+    """threshold() over all rows of scored (score, good, bad; the last two boolean), one good one at least. Scores are counted in ranges, so no task has them all."""
+    spark = scored.sparkSession
+    each = scored.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if("bad").alias("bad"))
+    each = materialize(each.repartitionByRange(shuffle_parts(spark), "score").withColumn("part", F.spark_partition_id()), "label-scores")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = each.groupBy("part").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    parts = parts.select("part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_base") for c in "gb"))
+    upto = Window.partitionBy("part").orderBy("score")
+    upto = each.select("part", "score", F.sum("good").over(upto).alias("g"), F.sum("bad").over(upto).alias("b")).join(F.broadcast(parts), "part").select("score", (F.col("g") + F.col("g_base")).alias("g"), (F.col("b") + F.col("b_base")).alias("b"))
+    n_good, n_bad = each.agg(F.sum("good"), F.sum("bad")).first()
+    if not n_bad:
+        k = keep_share * (n_good - 1)
+        low, high = upto.agg(*(F.min(F.when(F.col("g") > F.lit(int(i)), F.col("score"))) for i in (math.floor(k), math.ceil(k)))).first()
+        return low + (high - low) * (k - math.floor(k))
+    lost, caught = 1 - F.col("g") / n_good, 1 - F.col("b") / n_bad
+    best = upto.where(lost <= 1 - keep_share + 1e-12).agg(F.max(F.struct((caught - lost).alias("gain"), "score"))).first()[0]["score"]
+    above = each.where(F.col("score") > F.lit(best)).agg(F.min("score")).first()[0]
+    # two scores with no number between them have their midpoint on one of them
+    return best if above is None or (best + above) / 2 >= above else (best + above) / 2
+
+
+def fit(stats: DataFrame, labels: DataFrame, keep_share: float = 0.99, trees: int = TREES, tree_rows: int = TREE_ROWS, seed: int = 7) -> tuple[IsolationForest, float]:
+    """A forest from all good labelled rows that pass the base rules, and its threshold from all labelled ones; 1.0, which rejects nothing, where fewer than two rows are good.
+
+    labels: (doc_id, quality), 1 for good and 0 for bad. A tree's rows are those of the
+    smallest hashes of tree and id, four fifths of the good ones at most, so that each row
+    has trees that weren't grown from it.
     """
+    marks = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").alias("id")).agg(F.max(F.expr("quality = 1")).alias("good"), F.max(F.expr("quality = 0")).alias("bad"))
+    rows = stats.where(~F.col("base_failed")).join(marks, "id").select(F.xxhash64(F.lit(seed), "id").alias("h"), "good", "bad", "rates")
+    rows = materialize(rows, "labelled-statistics")
+    good = rows.where("good")
+    n, n_ids = good.agg(F.count("*"), F.count_distinct("h")).first()
+    if n < 2:
+        return IsolationForest(np.empty((0, len(RATES))), seed=seed), 1.0
+    size = min(tree_rows, n * 4 // 5)
+    dealt = good.select("h", "rates", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("place", F.xxhash64("tree", "h"))
+    order = Window.partitionBy("tree").orderBy("place", "h", "rates")
+    dealt = dealt.where(hash_share(F.col("place"), size, n_ids)).withColumn("k", F.row_number().over(order)).where(F.col("k") <= size)
+    drawn: list[list] = [[] for _ in range(trees)]
+    grown: dict[int, list[int]] = {}
+    for tree, _, h, rates in sorted(dealt.select("tree", "k", "h", "rates").collect()):
+        drawn[tree].append(rates)
+        grown.setdefault(h, []).append(tree)
+    forest = IsolationForest(np.empty((0, len(RATES))), seed=seed, drawn=[features(d) for d in drawn])
+    model = stats.sparkSession.sparkContext.broadcast((forest, grown))
+
+    @F.pandas_udf("double")
+    def unseen_score(h, rates):
+        import pandas as pd
 
-    def labelled(quality: int) -> np.ndarray:
-        ids = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id")).distinct()
-        few = hash_share(F.xxhash64(F.lit(seed), "id"), sample, ids.count())
-        rows = stats.where(~F.col("base_failed") & few).join(ids.where(few), "id", "left_semi").select("rates", F.xxhash64(F.lit(seed), "id").alias("h")).orderBy("h", "rates").limit(sample).collect()
-        return features([r["rates"] for r in rows])
+        forest, grown = model.value
+        seen = np.zeros((len(h), len(forest.trees)), bool)
+        for i, x in enumerate(h):
+            seen[i, grown.get(x, [])] = True
+        return pd.Series(forest.score(features(rates.tolist()), seen))
 
-    x = labelled(1)
-    forest = IsolationForest(x[::2], seed=seed)
-    held = forest.score(x[1::2])
-    return forest, threshold(held, forest.score(labelled(0)), keep_share) if len(held) else 1.0
+    return forest, best_place(rows.select(unseen_score("h", "rates").alias("score"), "good", "bad"), keep_share)
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_share: float = 0.99) -> DataFrame:
