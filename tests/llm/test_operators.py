@@ -426,6 +426,36 @@ def test_mixing_meets_targets_of_small_sources(spark):
     assert max(slots) < need and abs(sorted(slots)[len(slots) // 2] / need - 0.35) < 0.25
 
 
+def test_mixing_takes_what_its_slots_take(spark, odd, monkeypatch):
+    """Spans fill the slots without gaps, and a document's taken words are those of its spans, also where the schedule withholds slots."""
+    rng = random.Random(11)
+    words = {"a": [rng.randrange(1, 300) for _ in range(150)], "b": [rng.randrange(1, 9) for _ in range(90)], None: [5000, 1]}
+    docs = [(i, " ".join(f"{i}.{k}" for k in range(n)), "en", s) for i, (s, n) in enumerate((s, n) for s, ns in words.items() for n in ns)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    sizes, source = {s: sum(ns) for s, ns in words.items()}, {d[0]: d[3] for d in docs}
+    goals = {s: round(t) for s, t in brute_targets(sizes).items()}
+    slots, filled = defaultdict(list), Counter()
+    for r in sorted(rows_of(mixing.mixture(df)), key=lambda r: (r["slot"], r["at"])):
+        assert r["at"] == sum(x["words"] for x in slots[r["slot"]]) and 0 <= r["first"] < r["first"] + r["words"] <= len(docs[r["doc_id"]][1].split())
+        slots[r["slot"]].append(r)
+    for of in slots.values():
+        assert len({source[r["doc_id"]] for r in of}) == 1
+        filled[source[of[0]["doc_id"]], sum(r["words"] for r in of)] += 1
+    assert sorted(slots) == list(range(sum(-(-g // 64) for g in goals.values())))
+    assert filled == Counter({(s, 64): g // 64 for s, g in goals.items()}) + Counter((s, g % 64) for s, g in goals.items() if g % 64)
+    whole = mixing.schedule
+    for withheld in (0, 3):
+        monkeypatch.setattr(mixing, "schedule", lambda *a, k=withheld: whole(*a).where(f"{k} = 0 OR slot % 3 != 0"))
+        taken, first = Counter(), {}
+        for slot, of in slots.items():
+            for r in of:
+                if not withheld or slot % 3:
+                    taken[r["doc_id"]] += r["words"]
+                    first[r["doc_id"]] = min(slot, first.get(r["doc_id"], slot))
+        got = rows_of(mixing.mix(df))
+        assert {r["doc_id"]: (r["taken"], r["first_slot"]) for r in got} == {d[0]: (taken[d[0]], first.get(d[0])) for d in docs} and len(got) == len(docs)
+
+
 def test_mixing_has_no_python(spark, sf_dir):
     plan = queries.op10_mixing(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|CartesianProduct|NestedLoop", plan)

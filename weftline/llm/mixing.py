@@ -11,7 +11,8 @@
   each source has just the slots that it needs.
 - Within a source, documents stand in an order shuffled by a hash, twice over, and the
   stream of their words is cut into the blocks. The j-th slot of a source takes its j-th
-  block; a document that goes over a border gives each block its own words.
+  block; a document that goes over a border gives each block its own words. What the mix
+  takes of a document are the words of its spans that slots took, and nothing else.
 
 Running sums are made in two levels (within a bucket, and over the totals of buckets),
 so that one source with most of the rows is dealt over all tasks.
@@ -88,33 +89,56 @@ def schedule(per_source: DataFrame, n_slots: int, few: bool, cells: int = 4096)
     return _running(given, "rank", "bucket", [F.col("slot")], "one", "turn").select("slot", "rank", "turn")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, least_block: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """What the mix takes of each document: id, size, source_size, target, taken, first_slot.
+def _dealt(docs: DataFrame, weights: Sequence[int], share: float, block: int, seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that have no word (id, size, rank), spans of the others (rank, off, id, size, first, at, words, slot), and the sources.
 
-    size counts words; null text has none. taken counts words with repeats, 2 * size at
-    most, and adds up to the source's target, rounded; first_slot is the place in the
-    schedule where the document first comes, null if it never does. Blocks have
-    least_block words, the last one of a source what is left.
-    Repeated rows are documents of their own; a null id or source is a value like others.
-    Reruns agree: the order of documents is by a hash of id and size, and rows that are
-    equal in both are alike. An empty table gives no rows.
+    off is the row's place in its source. A span has the words from first on of a document
+    and stands in its block from at on; slot is null where the schedule has no turn for the
+    block. A row that is past its source's goal has one span of no words.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("key"), F.col(source_col).isNull().alias("is_null"), n_words(F.col(text_col)).alias("size"))
     rows = materialize(rows.withColumn("h", F.xxhash64(F.lit(seed), "id", "size")), "mix-rows")
     sizes = rows.groupBy("key", "is_null").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    plan = materialize(targets(sizes, weights, share, least_block), "mix-targets")
+    plan = materialize(targets(sizes, weights, share, block), "mix-targets")
     n_slots, n_sources = plan.agg(F.coalesce(F.sum("need"), F.lit(0)), F.count("*")).first()
     few = n_sources <= MOST_BROADCAST
     turns = schedule(plan, n_slots, few, max(4096, 2 * n_sources))
+    plan = F.broadcast(plan) if few else plan
 
     buckets = max(64, rows.count() // BUCKET_ROWS)
     rows = rows.withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 1), F.lit(buckets)))
-    sized = rows.join(F.broadcast(plan) if few else plan, ["key", "is_null"]).drop("lo", "hi", "need", "key", "is_null")
+    sized = rows.join(plan.select("key", "is_null", "rank", "source_size", "goal"), ["key", "is_null"]).drop("key", "is_null")
     placed = _running(sized.where("size > 0"), "rank", "bucket", [F.col("h"), F.col("id"), F.col("size")], "size", "off")
-    # every pass over the source, as far as the goal
-    words = lambda off: F.greatest(F.lit(0), F.least(off + F.col("size"), F.col("goal")) - off)
-    placed = placed.withColumn("taken", words(F.col("off")) + words(F.col("off") + F.col("source_size"))).withColumn("turn", F.expr(f"off div {least_block}"))
-    had = placed.join(turns, ["rank", "turn"], "left").withColumn("first_slot", F.when(F.col("taken") > 0, F.col("slot")))
-    none = sized.where("size = 0").withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")})
-    columns = [F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_slot"]
-    return had.select(*columns).unionByName(none.select(*columns))
+    # every pass over the source, as far as the goal, cut at the borders of blocks
+    again = F.col("off") + F.col("source_size")
+    spans = placed.withColumn("start", F.explode(F.when(again < F.col("goal"), F.array("off", again)).otherwise(F.array("off"))))
+    spans = spans.withColumn("stop", F.least(F.col("start") + F.col("size"), F.greatest("start", "goal")))
+    spans = spans.withColumn("turn", F.explode(F.expr(f"sequence(start div {block}, greatest(start, stop - 1) div {block})")))
+    spans = spans.withColumn("begin", F.greatest("start", F.col("turn") * block)).withColumn("words", F.least("stop", (F.col("turn") + 1) * block) - F.col("begin"))
+    spans = spans.select("rank", "off", "id", "size", "turn", (F.col("begin") - F.col("start")).alias("first"), (F.col("begin") - F.col("turn") * block).alias("at"), "words")
+    return sized.where("size = 0").select("id", "size", "rank"), spans.join(turns, ["rank", "turn"], "left"), plan
+
+
+def mixture(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, least_block: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: slot, at, id, first, words. In the order of slot and at, each line has as many words of the document, from first on (from 0)."""
+    _, spans, _ = _dealt(docs, weights, share, least_block, seed, id_col, text_col, source_col)
+    return spans.where("slot IS NOT NULL AND words > 0").select("slot", "at", F.col("id").alias(id_col), "first", "words")
+
+
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, least_block: int = 64, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """What the mix takes of each document: id, size, source_size, target, taken, first_slot.
+
+    size counts words; null text has none. taken counts words of the document in the slots
+    of mixture(), with repeats, 2 * size at most, and adds up to the source's target,
+    rounded; first_slot is the place in the schedule where the document first comes, null
+    if it never does. Blocks have least_block words, the last one of a source what is left.
+    Repeated rows are documents of their own; a null id or source is a value like others.
+    Reruns agree: the order of documents is by a hash of id and size, and rows that are
+    equal in both are alike. An empty table gives no rows.
+    """
+    none, spans, plan = _dealt(docs, weights, share, least_block, seed, id_col, text_col, source_col)
+    met = F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)
+    had = spans.groupBy("rank", "off", "id", "size").agg(F.sum(met).alias("taken"), F.min(F.when(met > 0, F.col("slot"))).alias("first_slot")).drop("off")
+    none = none.withColumns({"taken": F.lit(0).cast("long"), "first_slot": F.lit(None).cast("long")})
+    every = had.unionByName(none).join(plan.select("rank", "source_size", "target"), "rank")
+    return every.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "first_slot")
