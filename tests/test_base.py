@@ -67,6 +67,11 @@ def test_posts_of_a_file(spark, tmp_path):
     assert [(r["week_start"][:10], r["views"]) for r in weekly] == [("2026-01-05", "40")]
 
 
+def test_times_after_the_year_9999_have_no_sign(spark):
+    items = spark.createDataFrame([(1, 253402300799), (2, 253402300800), (3, 518400000000), (4, None)], "playCount long, createTime long").withColumn("diggCount", F.lit(0))
+    assert [r["created_at"] for r in io.post_rows(items).orderBy("views").collect()] == ["9999-12-31 23:59:59", "10000-01-01 00:00:00", "18397-06-11 00:00:00", "1970-01-01 00:00:00"]
+
+
 def test_product_file_round_trip(spark, tmp_path):
     rows = spark.createDataFrame([("B x", "1", "2", "d", "oil", ["b", "A"])], "name string, price string, stock string, description string, type string, features array<string>")
     io.write_products(rows, str(tmp_path / "p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.catalog import PRODUCT_JSON, html_to_text, join_features, json_stock, normalize_name
@@ -75,9 +75,14 @@ def write_products(df: DataFrame, path: str) -> None:
     product_lines(df).write.mode("overwrite").csv(path, header=True)
 
 
+def _time(at: Column | str, form: str) -> Column:
+    """date_format() for forms that begin with the year, without the plus sign of years after 9999."""
+    return F.ltrim(F.date_format(at, form), F.lit("+"))
+
+
 def post_rows(items: DataFrame) -> DataFrame:
     """Posts of a social feed: counts default to 0, epoch seconds become a UTC time."""
-    created = F.date_format(F.timestamp_seconds(F.coalesce("createTime", F.lit(0))), "yyyy-MM-dd HH:mm:ss")
+    created = _time(F.timestamp_seconds(F.coalesce("createTime", F.lit(0))), "yyyy-MM-dd HH:mm:ss")
     return items.select(F.coalesce("playCount", F.lit(0)).alias("views"), F.coalesce("diggCount", F.lit(0)).alias("likes"), created.alias("created_at"))
 
 
@@ -85,7 +90,7 @@ def message_rows(items: DataFrame) -> DataFrame:
     """Short messages in ten flat columns, null as empty or 0."""
     text = lambda c, to: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(to)
     number = lambda c, to: F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(to)
-    made = F.coalesce(F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("created_at")
+    made = F.coalesce(_time("date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("")).alias("created_at")
     return items.select(text("id", "id"), made, text("username", "username"), text("rawContent", "content"), *[number(f"{a}Count", b) for a, b in (("view", "views"), ("like", "likes"), ("reply", "replies"), ("retweet", "retweets"), ("quote", "quotes"))], text("lang", "lang"))
 
 
