@@ -14,7 +14,7 @@ from weftline.operators import ingest, people, search, social, suggest
 from weftline.operators.documents import build_documents
 from weftline.plans.engine import SearchEngine
 from weftline.sources import io, sinks
-from weftline.sources.tables import read_table, spread
+from weftline.sources.tables import materialize, read_table, spread
 
 ASKED = ((0, "thble thing"), (1, "attion ering thing"), (2, "thing qqqq"), (3, "the of"), (4, "ering"), (5, ""), (6, "onble tion and anre"))
 NEAR = {"thble": ["thing", "onble"], "thing": ["attion thble", "ering", "anre"], "ering": ["tion"], "qqqq": ["thre"], "things": ["reing", "anly"]}
@@ -606,6 +606,10 @@ def _features(spark, d) -> DataFrame:
     return people.mail_features(_mails(spark, d), SKILL_WORDS)
 
 
+def _mail_texts(spark, d) -> DataFrame:
+    return materialize(_features(spark, d).select("email_id", "clean_text"), "mail-texts")
+
+
 @query(_MAILS + f"SELECT email_id, from_name, round(flag, 6) AS flag_score, round(has_gap, 6) AS has_gap, CAST(body_len AS BIGINT) AS body_len, CAST(token_count AS BIGINT) AS token_count, {', '.join(f'CAST({people.column_of(s)} AS BIGINT) AS {people.column_of(s)}' for s in SKILL_WORDS)} FROM f")
 def sc16_mail_features(spark, d):
     f = _features(spark, d)
@@ -660,12 +664,12 @@ def ml05_target(spark, d):
 
 @query(_MAILS + ", w AS (SELECT email_id, list_filter(string_split(b, ' '), lambda x: length(x) > 1) AS l FROM f), g AS (SELECT email_id, unnest(l) AS term FROM w UNION ALL SELECT email_id, l[i] || ' ' || l[i + 1] FROM (SELECT email_id, l, unnest(range(1, len(l))) AS i FROM w)), tf AS (SELECT email_id, term, count(*) AS c FROM g GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY sum(c) DESC, term LIMIT 300), v AS (SELECT email_id, term, (1 + ln(c)) * (ln((1.0 + (SELECT count(*) FROM f)) / (1 + df)) + 1) AS x FROM tf JOIN df USING (term)) SELECT email_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY email_id)), 6) AS weight FROM v")
 def ml01_tfidf(spark, d):
-    return people.tfidf(_features(spark, d), "email_id", 300).withColumn("weight", F.round("weight", 6))
+    return people.tfidf(_mail_texts(spark, d), "email_id", 300).withColumn("weight", F.round("weight", 6))
 
 
 @query()
 def ml02_topics(spark, d):
-    return people.topics(people.tfidf(_features(spark, d), "email_id"), "email_id")
+    return people.topics(people.tfidf(_mail_texts(spark, d), "email_id"), "email_id")
 
 
 def _scored(spark, d) -> people.Scored:
