@@ -184,8 +184,7 @@ def ag17_stats(spark, d):
 
 @query(_INDEX + "SELECT term, to_json(list([doc_pos, tf] ORDER BY doc_pos)) AS postings FROM post GROUP BY term")
 def io13_postings(spark, d):
-    p = io.index_tables(_index(spark, d), table(spark, d, "documents").select(*[F.lit("").alias(c) for c in ("id", "title", "category", "snippet", "metadata", "date")]))["postings"]
-    return p.select("term", F.to_json(F.transform("postings", lambda x: F.array(x["doc_pos"], x["tf"]))).cast("string").alias("postings"))
+    return _index(spark, d).posting_lists.select("term", F.to_json(F.transform("postings", lambda x: F.array(x["doc_pos"], x["tf"]))).cast("string").alias("postings"))
 
 
 @query(_INDEX + "SELECT query_id, doc_pos FROM post JOIN qt USING (term) GROUP BY query_id, doc_pos HAVING count(*) = (SELECT count(*) FROM qt q WHERE q.query_id = qt.query_id)")
@@ -262,7 +261,7 @@ def sr13_weights(spark, d):
 def jn04_term_groups(spark, d):
     index, table_ = _index(spark, d), search.synonym_table(spark, NEAR)
     terms = search.query_terms(_asked(spark))
-    base = terms.join(terms.join(index.idf, "term", "left_semi").select("query_id").distinct(), "query_id", "left_semi")
+    base = terms.join(index.named(index.idf, terms).join(terms, "term").select("query_id").distinct(), "query_id", "left_semi")
     return search.group_candidates(search.term_groups(base, table_), index)
 
 

@@ -112,5 +112,5 @@ def index_tables(index, documents: DataFrame) -> dict[str, DataFrame]:
         "docs": documents.select("id", "title", "category", "snippet", "metadata", "date"),
         "vocabulary": vocabulary.join(index.idf, "term").select("ordinal", "term", F.round("idf", 6).alias("idf")),
         "vectors": index.norms.join(vectors, "doc_pos", "left").select("doc_pos", F.round("norm", 6).alias("norm"), "vector"),
-        "postings": index.postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_pos", "tf"))).alias("postings")),
+        "postings": index.posting_lists,
     }
